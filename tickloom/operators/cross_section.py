@@ -61,10 +61,12 @@ def _sectors(standing: DataFrame, window: int) -> DataFrame:
         F.count(F.lit(1)).over(Window.partitionBy("day")).alias(f"n_sectors_{window}"))
 
 
-def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False) -> DataFrame:
+def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False,
+               dates: DataFrame | None = None) -> DataFrame:
     """Add ``<value>_pctl`` for every ``rank:<value>`` and sector columns for every
     ``sector_rank:<window>``. ``df`` holds the values (``rank_inputs``), and
-    ``industry`` for sector ranks. ``latest``: one row per symbol, one ranking."""
+    ``industry`` for sector ranks. ``latest``: one row per symbol, one ranking. ``dates`` holds every
+    date of the store (taken from ``df`` if not given)."""
     needs = sorted(n for n in needs if n.startswith(("rank:", "sector_rank:")))
     if not needs:
         return df
@@ -76,7 +78,7 @@ def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False) -> Dat
         standing = placed.select("day", *carried)
     else:
         by_date = Window.partitionBy("symbol").orderBy("date")
-        placed = df.join(F.broadcast(calendar(df)), "date")
+        placed = df.join(F.broadcast(calendar(df if dates is None else dates)), "date")
         standing = (placed.withColumn("_next", F.lead("day").over(by_date))
                     .select(F.explode(standing_days(F.col("_next"), F.col("end"))).alias("day"),
                             *carried))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ewm import ewm_steps, span_alpha, wilder_alpha
+from ..functions.rolling import extreme_steps, mean_steps
 from ..functions.steps import Step, add_steps
 from ..functions.windows import lag, number_bars, rolling, trailing
 from ..schema import (DAILY_FIELDS, EMA_PERIODS, OHLCV, ROC_PERIODS, SMA_PERIODS,
@@ -117,8 +118,8 @@ def _band_steps(n: int = 20, width: float = 2.0) -> dict[str, Step]:
 
 def _yearly_range_steps() -> dict[str, Step]:
     return {
-        "high_52w": Step(("high",), lambda: rolling(F.max, "high", 252, 60)),
-        "low_52w": Step(("low",), lambda: rolling(F.min, "low", 252, 60)),
+        **extreme_steps("high_52w", "high", "max", 252, 60),
+        **extreme_steps("low_52w", "low", "min", 252, 60),
         "pct_from_52w_high": Step(("close", "high_52w"),
                                   lambda: pct_change(F.col("close"), F.col("high_52w"))),
         "pct_from_52w_low": Step(("close", "low_52w"),
@@ -137,7 +138,7 @@ def daily_book(turnover_scale: float = 1e7) -> dict[str, Step]:
         book |= ewm_steps(f"ema_{n}", "close", span_alpha(n), n)
         book[f"ema_{n}_slope"] = _slope(f"ema_{n}", 5)
     for n in SMA_PERIODS:
-        book[f"sma_{n}"] = Step(("close",), lambda n=n: rolling(F.avg, "close", n))
+        book |= mean_steps(f"sma_{n}", "close", n)
         book[f"sma_{n}_slope"] = _slope(f"sma_{n}", 5)
     book |= _rsi_steps(14)
     book |= _directional_steps(14)

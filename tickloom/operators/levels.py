@@ -10,6 +10,7 @@ work per bar does not depend on the length of the history.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.rolling import gather_steps
 from ..functions.steps import Step
 from ..functions.windows import history
 
@@ -63,21 +64,17 @@ def level_steps(k: int = PIVOT_K, lookback: int = LOOKBACK,
     """``levels`` (array of level, touches), ``support`` (highest level at or
     below the close) and ``resistance`` (lowest level above it)."""
 
-    def prices() -> Column:
-        confirmed = history().rowsBetween(-(lookback - k), -k)
-        highs = F.collect_list(F.when(F.col("pivot_high"), F.col("high"))).over(confirmed)
-        lows = F.collect_list(F.when(F.col("pivot_low"), F.col("low"))).over(confirmed)
-        return F.array_sort(F.concat(highs, lows))
-
     def best(keep, pick) -> Column:
         kept = F.filter("levels", lambda x: keep(x["level"], F.col("close")))
         return pick(F.transform(kept, lambda x: x["level"]))
 
     return {
         **pivot_steps(k),
-        "_pivot_prices": Step(("pivot_high", "pivot_low", "high", "low"), prices),
-        "levels": Step(("_pivot_prices",),
-                       lambda: fold_levels(F.col("_pivot_prices"), min_touches, tol_pct)),
+        # the frame i-lookback..i holds confirmed pivots from its first bar + k on
+        **gather_steps("_pivot_prices", {"high": "pivot_high", "low": "pivot_low"},
+                       k, lookback - k),
+        "levels": Step(("_pivot_prices",), lambda: fold_levels(
+            F.array_sort("_pivot_prices"), min_touches, tol_pct)),
         "support": Step(("levels", "close"),
                         lambda: best(lambda lv, c: lv <= c, F.array_max)),
         "resistance": Step(("levels", "close"),

@@ -127,7 +127,7 @@ def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[st
     keep = ["symbol", "date", "bar_idx", "n_bars", *(["industry"] if "universe" in needs else []),
             *inputs, *[c.name for c in plain + weekly], *early]
     df = df.select(*dict.fromkeys(keep))
-    df = with_ranks(df, needs, latest)
+    df = with_ranks(df, needs, latest, market.bars)
     df = add_steps(df, after, [c.name for c in ranked])
     out = ["symbol", "date", "bar_idx", "n_bars", *(["industry"] if "universe" in needs else []),
            *[c.name for c in conditions], *fields, *steps]
