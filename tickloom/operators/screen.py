@@ -88,11 +88,13 @@ def _join_context(market: Market, needs: set[str]) -> DataFrame:
 
 
 def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[str] = (),
-            steps: dict[str, Step] | None = None, latest: bool = False) -> DataFrame:
+            steps: dict[str, Step] | None = None, latest: bool = False,
+            extra_steps: dict[str, Step] | None = None) -> DataFrame:
     """The panel with one boolean column per condition.
 
     All per-symbol columns share one shuffle by symbol; ranks add a shuffle by
-    (date, value). ``fields`` and the names in ``steps`` are kept as well.
+    (date, value). ``fields`` and the names in ``steps`` are kept as well;
+    ``extra_steps`` only define what ``fields`` may name.
     ``latest`` keeps the last bar of each symbol."""
     conditions = list(dict.fromkeys(conditions))
     needs = set().union(*[c.needs for c in conditions])
@@ -108,14 +110,14 @@ def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[st
         book["pct_above_200dma"] = Step(("_breadth",), lambda: F.last(
             "_breadth", ignorenulls=True).over(so_far()))
     steps = steps or {}
-    book |= steps
+    book |= steps | (extra_steps or {})
     inputs = [n.partition(":")[2] for n in needs if n.startswith("rank:")]
     inputs += [f"ret_{n.partition(':')[2]}" for n in needs if n.startswith("sector_rank:")]
 
     after: dict[str, Step] = {}
     for c in ranked:
         after |= c.steps()
-    late = [n for n in [*fields, *steps] if _reads_rank(n, needs)]
+    late = [n for n in [*fields, *steps] if _reads_rank(n)]
     early = [n for n in [*fields, *steps] if n not in late]
     df = _join_context(market, needs)
     if weekly:
@@ -134,7 +136,7 @@ def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[st
     return df.select(*dict.fromkeys(out))
 
 
-def _reads_rank(name: str, needs: set[str]) -> bool:
+def _reads_rank(name: str) -> bool:
     """Columns that only exist once the ranks are joined."""
     return name.endswith("_pctl") or name.startswith(("sector_rank_", "n_sectors_", "sector_ret_"))
 
