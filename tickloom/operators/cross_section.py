@@ -16,6 +16,7 @@ from ..functions.asof import calendar, standing_days
 from ..functions.ranks import counted_values, percentile_rank
 from ..functions.steps import Step, add_steps
 from ..functions.windows import history, number_bars
+from ..session import settle
 from .indicators import MIN_HISTORY, daily_book, pct_change
 
 
@@ -70,6 +71,7 @@ def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False,
     needs = sorted(n for n in needs if n.startswith(("rank:", "sector_rank:")))
     if not needs:
         return df
+    df = settle(df)
     carried = rank_values(needs)
     if any(n.startswith("sector_rank:") for n in needs):
         carried.append("industry")

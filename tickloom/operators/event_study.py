@@ -15,6 +15,7 @@ from ..functions.folds import spaced_out
 from ..functions.ranks import quantiles
 from ..functions.steps import Step, add_steps
 from ..functions.windows import lead, number_bars
+from ..session import settle
 from .conditions import SENSITIVITY_STEPS, Condition
 from .indicators import daily_book, pct_change
 from .screen import Market, hits, liquid, signals
@@ -121,18 +122,22 @@ def horizon_stats(rows: DataFrame, keys=("screen_id", "horizon"),
     """Count, means, median, hit rate, tail quantiles and mean of the worst 5% per
     group; everything but the counts is null below ``min_events`` events."""
     keys = list(keys)
-    done = _complete(rows)
+    measures = ("excess_gross", "excess_net")
     shares = {"p5": 0.05, "median": 0.5, "p95": 0.95}
-    tails = None
-    for m in ("excess_gross", "excess_net"):
-        q = quantiles(done, keys, m, {f"{m}_{k}": v for k, v in shares.items()})
-        tails = q if tails is None else tails.join(q, keys)
+    done = settle(_complete(rows))
+    long = done.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])).alias("_m")
+    ).select(*keys, "_m.measure", "_m.x")
+    # a handful of groups: one row each
+    tails = quantiles(long, [*keys, "measure"], "x", shares).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("measure") == m, F.col(k))).alias(f"{m}_{k}")
+        for m in measures for k in shares])
     with_tails = done.join(tails, keys)
     aggs = [F.count(F.lit(1)).alias("n_events"),
             F.count_distinct("signal_date").alias("event_dates"),
             F.avg("gross").alias("event_gross_mean"), F.avg("net").alias("event_net_mean"),
             F.avg("baseline").alias("baseline_mean")]
-    for m in ("excess_gross", "excess_net"):
+    for m in measures:
         aggs += [F.avg(m).alias(f"{m}_mean"),
                  F.avg((F.col(m) > 0).cast("double")).alias(f"{m}_hit_rate"),
                  F.avg(F.when(F.col(m) <= F.col(f"{m}_p5"), F.col(m))).alias(f"{m}_worst5pct_mean"),
@@ -153,7 +158,8 @@ def bootstrap(rows: DataFrame, keys=("screen_id", "horizon"), replicates: int =
     draws are a hash of (seed, replicate, draw number), the same on every run
     and after every retry; they are spread over tasks by replicate."""
     keys = list(keys)
-    by_date = _complete(rows).groupBy(*keys, "signal_date").agg(F.avg("excess_net").alias("x"))
+    by_date = settle(_complete(rows).groupBy(*keys, "signal_date")
+                     .agg(F.avg("excess_net").alias("x")))
     order = Window.partitionBy(*keys).orderBy("signal_date")
     numbered = by_date.select(*keys, "x", (F.row_number().over(order) - 1).alias("k"),
                               F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))

@@ -374,9 +374,11 @@ CANDLES = {
 }
 
 
-def signal_ctes(conditions: Sequence[Condition], fields: Sequence[str] = (), gate: float = 0.0
-                ) -> tuple[list[str], str]:
-    """CTEs ending in a table with one boolean per condition and ``fields``."""
+def signal_ctes(conditions: Sequence[Condition], fields: Sequence[str] = (), gate: float = 0.0,
+                latest: bool = False) -> tuple[list[str], str]:
+    """CTEs ending in a table with one boolean per condition and ``fields``. Ranks
+    are those of the bar's date, or with ``latest`` of the last date of all."""
+    on = "(select max(d) from days)" if latest else "p.date"
     conditions = list(dict.fromkeys(conditions))
     f = daily_fields()
     daily = [c for c in conditions if not c.weekly]
@@ -425,7 +427,7 @@ def signal_ctes(conditions: Sequence[Condition], fields: Sequence[str] = (), gat
                 f"(partition by d order by {r}) - 1) + (count(*) over (partition by d, {r}) + 1)/2.0)"
                 f"/count(*) over (partition by d), 2) as {r}_pctl from grid where {r} is not null)")
             ctes.append(f"j_{r} as materialized (select p.*, {r}_pctl from {last} p left join "
-                        f"rk_{r} k on k.d = p.date and k.symbol = p.symbol)")
+                        f"rk_{r} k on k.d = {on} and k.symbol = p.symbol)")
             last = f"j_{r}"
         for w in sectors:
             ctes.append(f"sm_{w} as (select d, industry, avg(ret_{w}) as m from grid "
@@ -434,7 +436,7 @@ def signal_ctes(conditions: Sequence[Condition], fields: Sequence[str] = (), gat
                         f"rank() over (partition by d order by m desc) as sector_rank_{w}, "
                         f"count(*) over (partition by d) as n_sectors_{w} from sm_{w})")
             ctes.append(f"js_{w} as materialized (select p.*, sector_ret_{w}, sector_rank_{w}, "
-                        f"n_sectors_{w} from {last} p left join sr_{w} k on k.d = p.date "
+                        f"n_sectors_{w} from {last} p left join sr_{w} k on k.d = {on} "
                         f"and k.industry = p.industry)")
             last = f"js_{w}"
     if "breadth" in needs:

@@ -242,13 +242,13 @@ def q_corporate_actions(spark, folder):
 
 def q_cumulative_factors(spark, folder):
     df = src.cumulative_factors(src.corporate_actions(actions(load_bars(spark, folder))))
-    return df.select("symbol", "ex_date", "factor", F.round("cum_factor", 9).alias("cum_factor"))
+    return df.select("symbol", "ex_date", "factor", "cum_factor")
 
 
 def q_adjusted_bars(spark, folder):
     bars = load_bars(spark, folder)
     factors = src.cumulative_factors(src.corporate_actions(actions(bars)))
-    return rounded(src.apply_adjustments(bars, factors))
+    return src.apply_adjustments(bars, factors)
 
 
 def _supplier_listing(spark, folder) -> DataFrame:
@@ -681,7 +681,7 @@ def q_spot_checks(spark, folder):
 def _two_sources(spark, folder) -> tuple[DataFrame, DataFrame]:
     bars = load_bars(spark, folder)
     other = bars.filter(F.dayofmonth("date") > 5).withColumn(
-        "close", F.round(F.col("close") * (1 + (F.dayofmonth("date") - 15) / 2000), 2))
+        "close", F.col("close") * (1 + (F.dayofmonth("date") - 15) / 2000))
     return bars, other
 
 

@@ -51,13 +51,13 @@ ACTIONS = """actions as (select symbol, date as ex_date,
     round_even((cast(volume/1000 as bigint) % 4 + 2)::double /
                (cast(volume/1000 as bigint) % 4 + 3), 6) end as factor
   from bars where day(date) <= 3 and month(date) in (1, 7))"""
-CUM = """cum as (select a.symbol, a.ex_date, a.factor, product(b.factor) as cum_factor
+CUM = """cum as (select a.symbol, a.ex_date, a.factor, 
+  list_reduce(list(b.factor order by b.ex_date desc), lambda x, y: x*y) as cum_factor
   from actions a join actions b on b.symbol = a.symbol and b.ex_date >= a.ex_date
   where a.factor is not null and b.factor is not null group by 1, 2, 3)"""
-ADJUSTED = ("select symbol, date, " + ", ".join(
-    f"round({c}*coalesce(f, 1), 6) as {c}" for c in OHLC) + """, volume from (select b.*,
-  (select product(a.factor) from actions a where a.symbol = b.symbol and a.ex_date > b.date
-   and a.factor is not null) as f from bars b)""")
+ADJUSTED = ("select b.symbol, b.date, " + ", ".join(
+    f"{c}*coalesce(cum_factor, 1) as {c}" for c in OHLC) + """, volume from bars b asof left join cum c
+  on c.symbol = b.symbol and b.date < c.ex_date""")
 
 SUBJECTS = """with s as (select p_partkey, p_size, case
   when p_size % 5 = 0 then 'Bonus ' || (p_size % 4 + 1) || ':' || (p_partkey % 5 + 1)
@@ -119,7 +119,7 @@ def fields_sql(fields, select: str, extra=None) -> str:
 def _batch_sql() -> str:
     screens = q.BATCH_SCREENS
     every = [c for conds, _ in screens.values() for c in conds]
-    ctes, last = signal_ctes(every, ["roc_63"])
+    ctes, last = signal_ctes(every, ["roc_63"], latest=True)
     ctes += _previous_ctes()
     rows = " union all ".join(
         f"select '{k}' as screen_id, symbol, roc_63 from {last} where i = n - 1 and "
@@ -656,7 +656,7 @@ SPOT = (check_sql("RSI bounds", "select count(*) as n, count(*) filter (rb) as b
                     grade("bad = 0", "WARN"), "n", "bad"))
 DIFF = """diff as materialized (select a.symbol, a.date, a.close as close_a, b.close as close_b,
   abs(100*(b.close/a.close - 1)) as pct_diff from bars a join (select symbol, date,
-  round(close*(1 + (day(date) - 15)/2000.0::double), 2) as close from bars where day(date) > 5) b
+  close*(1 + (day(date) - 15)/2000.0::double) as close from bars where day(date) > 5) b
   on b.symbol = a.symbol and b.date = a.date)"""
 CROSS_CHECK = check_sql("cross-source", "select count(*) as n, count(*) filter (pct_diff > 0.5) as bad from diff",
                         grade("n > 0 and bad = 0", "WARN"), "n", "bad")
@@ -687,8 +687,8 @@ def statements() -> dict[str, str]:
         "adjustment_factor": SUBJECTS,
         "corporate_actions": sql(ACTIONS, select="select * from actions"),
         "cumulative_factors": sql(ACTIONS, CUM, select="select symbol, ex_date, factor, "
-                                                       "round(cum_factor, 9) as cum_factor from cum"),
-        "adjusted_bars": sql(ACTIONS, select=ADJUSTED),
+                                                       "cum_factor from cum"),
+        "adjusted_bars": sql(ACTIONS, CUM, select=ADJUSTED),
         "universe_index_list": sql(select="select symbol, name, industry from universe"),
         "universe_full_listing": sql(select="select symbol, name, null::varchar as industry from "
                                             "universe where industry <> 'NATION_5'"),

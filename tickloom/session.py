@@ -3,23 +3,19 @@
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared checkpoint folder, as named by the session.
-
-    ``fallback`` is used only where the session names none (tests)."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared checkpoint folder, as named by the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    folder = folder or fallback
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set on this session")
-    return folder
+    return folder or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there, so
-    a lost executor re-reads files instead of recomputing the whole history."""
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the shared checkpoint folder
+    and continue from the files: it is computed once, and a lost executor re-reads
+    files instead of recomputing the history. Without such a folder the plan is
+    left as it is."""
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, fallback))
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() is not None else df
