@@ -486,12 +486,12 @@ def signal_bars_sql(conditions: Sequence[Condition], logic: str = "AND", gate: f
 
 def panel_sql(fields: Sequence[str], decimals: int = 6) -> str:
     ctes, last = chain("bars", "d", daily_fields(), fields)
-    cols = ", ".join(f"round({x}, {decimals}) as {x}" for x in fields)
+    cols = ", ".join(f"round({x}, {decimals}) + 0.0 as {x}" for x in fields)
     return statement([BARS.strip(), *ctes], f"select symbol, date, {cols} from {last}")
 
 
 def weekly_panel_sql(fields: Sequence[str], decimals: int = 6) -> str:
     ctes, last = chain("weekly_bars", "w", weekly_fields(), fields, 0)
-    cols = ", ".join(f"round({x}, {decimals}) as {x}" for x in fields)
+    cols = ", ".join(f"round({x}, {decimals}) + 0.0 as {x}" for x in fields)
     return statement([BARS.strip(), WEEKLY_BARS, *ctes],
                      f"select symbol, date, {cols} from {last}")

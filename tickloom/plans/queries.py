@@ -62,6 +62,12 @@ INDICATORS: dict[str, tuple[str, ...]] = {
     "median_turnover": ("median_turnover",),
 }
 
+
+def decimals_of(fields) -> int:
+    """Turnovers are multiples of 5e-7 here: rounded where they cannot tie."""
+    return 8 if "median_turnover" in fields else 6
+
+
 CONDITIONS: dict[str, Condition] = {
     "compare": compare("close", ">", "sma_200"),
     "compare_number": compare("adx", ">=", 25),
@@ -143,8 +149,9 @@ def market(spark: SparkSession, folder: str) -> sc.Market:
 
 
 def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, decimals).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes])
+    # adding zero turns a negative zero into zero
+    return df.select(*[(F.round(c, decimals) + F.lit(0.0)).alias(c) if t == "double"
+                       else F.col(c) for c, t in df.dtypes])
 
 
 # ---------------------------------------------------------------- sources
@@ -724,7 +731,8 @@ def _screen_query(conditions, logic="AND") -> Query:
 
 def _panel_query(fields) -> Query:
     return lambda spark, folder: rounded(
-        panel(load_bars(spark, folder), fields).select("symbol", "date", *fields))
+        panel(load_bars(spark, folder), fields).select("symbol", "date", *fields),
+        decimals_of(fields))
 
 
 def registered() -> dict[str, Query]:

@@ -24,7 +24,7 @@ def r(*cols: str, d: int = 6) -> str:
     out = []
     for c in cols:
         expr, _, name = c.partition(" as ")
-        out.append(f"round({expr}, {d}) as {name or expr}")
+        out.append(f"round({expr}, {d}) + 0.0 as {name or expr}")
     return ", ".join(out)
 
 
@@ -821,7 +821,7 @@ def statements() -> dict[str, str]:
             "close_a", "close_b", "pct_diff") + " from diff"),
         "check_run_log": RUN_LOG,
         "check_report": with_bars(
-            [SUSPECT, DIFF, *spot_ctes("store")], "select check_name, status, bad from (" + " union all ".join(
+            [SUSPECT, DIFF.replace("from bars a", "from store a"), *spot_ctes("store")], "select check_name, status, bad from (" + " union all ".join(
                 [*CHECKS.values(), BENCH_CHECK.format(d="1998-12-03"), SPOT, CROSS_CHECK]) + ")"),
     }
     for name, select in CHECKS.items():
@@ -844,7 +844,7 @@ def statements() -> dict[str, str]:
                                      "ret_63_pctl, mom_12_1_pctl, atr_pct_pctl, round(sector_ret_63, 6) as "
                                      f"sector_ret_63, sector_rank_63, n_sectors_63 from {last}")
     for name, fields in q.INDICATORS.items():
-        out[f"indicator_{name}"] = panel_sql(fields)
+        out[f"indicator_{name}"] = panel_sql(fields, q.decimals_of(fields))
     for name, condition in q.CONDITIONS.items():
         out[f"condition_{name}"] = signal_bars_sql([condition])
     for name in PRESETS:
