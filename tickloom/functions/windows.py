@@ -30,7 +30,12 @@ def by_symbol(df: DataFrame) -> DataFrame:
 
 def number_bars(df: DataFrame, min_bars: int = 0) -> DataFrame:
     """Add ``bar_idx`` (0-based position in the symbol's history), ``n_bars``
-    and ``_blk``; drop symbols with fewer than ``min_bars`` bars."""
+    and ``_blk``; drop symbols with fewer than ``min_bars`` bars. A stored panel
+    already has the first two."""
+    if "bar_idx" in df.columns and "n_bars" in df.columns:  # a stored panel
+        df = df.filter(F.col("n_bars") >= min_bars) if min_bars else df
+        return df.withColumn("_blk", F.floor(F.col("bar_idx") / BLOCK))
+    df = df.drop("bar_idx", "n_bars")
     by_date = Window.partitionBy("symbol").orderBy("date")
     whole = by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.select(

@@ -174,11 +174,13 @@ def weekly_book() -> dict[str, Step]:
 
 def panel(bars: DataFrame, fields: Iterable[str] = DAILY_FIELDS,
           min_bars: int = MIN_HISTORY) -> DataFrame:
-    """The indicator panel: (symbol, date, bar_idx) plus ``fields``. Symbols with
-    fewer than ``min_bars`` bars are left out."""
+    """The indicator panel: (symbol, date, bar_idx, n_bars) plus ``fields``. Symbols
+    with fewer than ``min_bars`` bars are left out. A panel is itself a table of
+    bars: whatever runs on bars runs on a stored panel and finds its fields
+    there instead of computing them."""
     fields = list(fields)
     df = add_steps(number_bars(bars, min_bars), daily_book(), fields)
-    return df.select("symbol", "date", "bar_idx", *fields)
+    return df.select("symbol", "date", "bar_idx", "n_bars", *fields)
 
 
 def week_ending(date: str = "date") -> Column:

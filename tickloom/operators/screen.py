@@ -31,7 +31,15 @@ class Market:
     def until(self, as_of) -> "Market":
         """The market as it was known on a date: later bars removed."""
         cut = lambda df: df if df is None else df.filter(F.col("date") <= F.lit(as_of).cast("date"))  # noqa: E731,E501
-        return Market(cut(self.bars), self.universe, cut(self.benchmark), self.min_bars)
+        return Market(cut(self.bars).drop("bar_idx", "n_bars"), self.universe,
+                      cut(self.benchmark), self.min_bars)
+
+
+def stored_market(panel: DataFrame, universe: DataFrame | None = None,
+                  benchmark: DataFrame | None = None) -> Market:
+    """A market over a stored panel (``stores.write_panel``): its indicators are
+    read, not recomputed."""
+    return Market(panel, universe, benchmark, 0)
 
 
 def combine(conditions: Sequence[Condition], logic: str = "AND") -> Column:

@@ -1,19 +1,24 @@
 """Price bars derived from order lines: one symbol per supplier, one bar per
 ship date, with integer arithmetic so that any engine gets the same bars."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.windows import by_symbol
 
 
+def _nearest(x: Column) -> Column:
+    """A positive number as the nearest whole one, halves up."""
+    return F.floor(x + 0.5)
+
+
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     daily = (lineitem
-             .groupBy(F.col("l_suppkey").cast("string").alias("symbol"),
-                      F.to_date("l_shipdate").alias("date"))
-             .agg(F.sum(F.round("l_extendedprice").cast("bigint")).alias("h"),
-                  F.sum("l_quantity").cast("bigint").alias("q")))
+             .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
+             .agg(F.sum(_nearest(F.col("l_extendedprice"))).alias("h"),
+                  F.sum("l_quantity").cast("bigint").alias("q"))
+             .withColumn("symbol", F.col("l_suppkey").cast("string")))
     h = F.col("h")
     moves = daily.select(
         "symbol", "date", "q",
@@ -24,7 +29,7 @@ def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     level = by_symbol(moves).withColumn("cum", F.sum("bp").over(so_far))
 
     def cents(points):
-        return F.round(10000 * F.exp(points.cast("double") / 10000.0)).cast("bigint")
+        return _nearest(10000 * F.exp(points.cast("double") / 10000.0))
 
     c, o = F.col("c"), F.col("o")
     return (level
