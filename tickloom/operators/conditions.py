@@ -55,7 +55,7 @@ class Condition:
 
     @property
     def name(self) -> str:
-        words = [self.kind] + [str(v) for _, v in self.args] + ["w"] * self.weekly
+        words = [self.kind] + [f"{k}_{v}" for k, v in self.args] + ["weekly"] * self.weekly
         text = "_".join(words).replace("-", "neg").replace(">", "gt").replace("<", "lt")
         return "c_" + re.sub(r"[^A-Za-z0-9]+", "_", text.replace("=", "e"))
 
