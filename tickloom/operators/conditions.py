@@ -55,7 +55,9 @@ class Condition:
 
     @property
     def name(self) -> str:
-        words = [self.kind] + [f"{k}_{v}" for k, v in self.args] + ["weekly"] * self.weekly
+        # equal arguments give equal names: 3 and 3.0 are the same threshold
+        shown = [(k, float(v) if isinstance(v, (int, float)) else v) for k, v in self.args]
+        words = [self.kind] + [f"{k}_{v}" for k, v in shown] + ["weekly"] * self.weekly
         text = "_".join(words).replace("-", "neg").replace(">", "gt").replace("<", "lt")
         return "c_" + re.sub(r"[^A-Za-z0-9]+", "_", text.replace("=", "e"))
 
