@@ -33,20 +33,23 @@ def fill_calendar(dates: DataFrame, series: DataFrame, columns: Sequence[str]) -
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], columns: Sequence[str],
               date: str = "date") -> DataFrame:
     """For each left row the right row with the same key and the latest date at or
-    before its own; right columns ``columns`` (null when there is none). Both
-    sides go through one shuffle by key and one sort."""
-    on = list(on)
-    r = right.select(*on, F.col(date), F.struct(*columns).alias("_right"),
-                     F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType)
-                     .alias("_left"))
-    lf = left.select(*on, F.col(date),
-                     F.lit(None).cast(r.schema["_right"].dataType).alias("_right"),
-                     F.struct(*left.columns).alias("_left"))
-    order = (Window.partitionBy(*on).orderBy(F.col(date), F.col("_left").isNotNull())
+    before its own; right columns ``columns`` (null when there is none).
+
+    The search runs on the distinct (key, date) pairs of both sides, so a key's
+    group is bounded by the calendar however many left rows it has; the answer is
+    joined back by (key, date). ``right`` holds one row per key and date."""
+    keys = [*on, date]
+    r = right.select(*keys, F.struct(*columns).alias("_right"))
+    asked = left.select(*keys).distinct().select(
+        *keys, F.lit(None).cast(r.schema["_right"].dataType).alias("_right"),
+        F.lit(1).alias("_asked"))
+    order = (Window.partitionBy(*on).orderBy(date, "_asked")
              .rowsBetween(Window.unboundedPreceding, 0))
-    seen = lf.unionByName(r).withColumn("_match", F.last("_right", ignorenulls=True).over(order))
-    return (seen.filter(F.col("_left").isNotNull())
-            .select("_left.*", *[F.col(f"_match.{c}").alias(c) for c in columns]))
+    both = asked.unionByName(r.withColumn("_asked", F.lit(0)))
+    found = (both.withColumn("_match", F.last("_right", ignorenulls=True).over(order))
+             .filter(F.col("_asked") == 1).select(*keys, "_match"))
+    return left.join(found, keys, "left").select(
+        *left.columns, *[F.col(f"_match.{c}").alias(c) for c in columns])
 
 
 def standing_days(next_day: Column, last_day: Column) -> Column:

@@ -48,6 +48,21 @@ def percentile_rank() -> Column:
     return 100 * (F.col("below") + (F.col("same") + 1) / 2) / F.col("total")
 
 
+def places(df: DataFrame, keys: Sequence[str], value: str, tie: str,
+           out: str = "rank") -> DataFrame:
+    """Add the place of each row in its group, the largest value first, equal values
+    in the order of ``tie``, missing values last."""
+    keys = list(keys)
+    counted = counted_values(df, keys, value).select(
+        *keys, value, (F.col("total") - F.col("below") - F.col("same")).alias("_ahead"))
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_known"))
+    equal = Window.partitionBy(*keys, value).orderBy(tie)
+    return (df.join(counted, [*keys, value], "left").join(sizes, keys)
+            .withColumn(out, (F.coalesce("_ahead", "_known")
+                              + F.row_number().over(equal)).cast("int"))
+            .drop("_ahead", "_known"))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str,
               shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group; one column per entry of

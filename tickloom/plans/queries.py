@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.asof import as_of_rows, asof_join, calendar, fill_calendar
+from ..functions.ranks import places
 from ..functions.steps import add_steps
 from ..functions.windows import number_bars
 from ..operators import cohorts as co
@@ -495,8 +496,8 @@ def picks_and_quotes(spark, folder) -> tuple[DataFrame, DataFrame]:
     nation = spark.read.parquet(f"{folder}/nation.parquet").select(
         F.col("n_name").alias("sector"), F.col("n_regionkey").cast("string").alias("portfolio_id"))
     rows = last.join(m.universe, "symbol").join(nation, F.col("industry") == F.col("sector"))
-    best = Window.partitionBy("portfolio_id").orderBy(F.desc_nulls_last("roc_63"), "symbol")
-    picks = rows.select("portfolio_id", F.row_number().over(best).alias("rank"), "symbol")
+    picks = places(rows.select("portfolio_id", "symbol", "roc_63"), ["portfolio_id"], "roc_63",
+                   "symbol").select("portfolio_id", "rank", "symbol")
     quotes = rows.select("symbol", F.col("close").alias("entry"), "atr", "atr_pct", "sector")
     return picks, quotes
 
