@@ -69,7 +69,7 @@ def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
 
 def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts the keys, and the first place of each distinct key in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return order, first

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .arrays import U64, dense, gram_hashes, mix, pack, prefix_hashes, ranges, slices, stretch_hashes, unpack
 
+#: Parts and shards for each shuffle partition: what Python holds at a time is so much smaller.
+SPLIT = 4
 #: Occurrences from which an anchor's segments are dealt by longer stretches.
 HOT = 20_000
 NO_ID = np.iinfo(np.int64).max
@@ -312,15 +314,16 @@ def covered(flags: np.ndarray, window: int) -> np.ndarray:
 def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish, schema: str,
                    hot: int = HOT) -> DataFrame:
     """Run both rounds; ``finish(docs, replies, shards)`` makes the rows of each part."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = SPLIT * tasks
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), F.col(key).cast("long").alias("id"),
-                        F.col(text).cast("string").alias("text")).repartition(n, "part")
+                        F.col(text).cast("string").alias("text")).repartition(tasks, "part")
     anchors = parts.groupBy("part").applyInArrow(_ask_anchors(search, n), REQUEST)
-    first = anchors.groupBy("shard").applyInArrow(_answer_anchors(hot), REPLY)
-    asked = parts.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(_ask_segments(search, n), REQUEST)
-    second = asked.groupBy("shard").applyInArrow(_answer_segments(search), REPLY)
-    replies = first.unionByName(second)
+    first = anchors.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_anchors(hot), REPLY)
+    asked = parts.groupBy("part").cogroup(first.repartition(tasks, "part").groupBy("part")).applyInArrow(_ask_segments(search, n), REQUEST)
+    second = asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_segments(search), REPLY)
+    replies = first.unionByName(second).repartition(tasks, "part")
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         return finish(docs, replies, n)
