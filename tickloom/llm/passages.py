@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .arrays import U64, dense, gram_hashes, mix, pack, prefix_hashes, ranges, slices, stretch_hashes, unpack
 
-#: Parts and shards for each shuffle partition: what Python holds at a time is so much smaller.
-SPLIT = 4
+#: Symbols of a shard that are resolved at a time (more only for one anchor's), and windows
+#: of a part whose flags are spread at a time.
+PIECE, BLOCK = 1 << 20, 1 << 21
 #: Occurrences from which an anchor's segments are dealt by longer stretches.
 HOT = 20_000
 NO_ID = np.iinfo(np.int64).max
@@ -255,22 +256,37 @@ def _answer_segments(search: Search):
         values = np.concatenate([_values(x) for x in raws])
         content = stretch_hashes(prefix_hashes(values), start, start + size)
         del values
-        found = Segment(route, content, start, start, start)
-        order, first = distinct(found)
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-        one = order[first]
-        route = route[one]
-        same = np.r_[False, route[1:] == route[:-1]]
-        lone = ~(same | np.r_[same[1:], False])
-        shard = Shard(raw, start[one], size[one], lone, entry, weight)
-        bits = search.resolve(shard, search.window)
+        order, first = distinct(Segment(route, content, start, start, start))
+        count = size - (search.window - 1)
+        begin = np.cumsum(count) - count
+        bits = np.zeros(int(count.sum()), bool)
+        for a, b in _pieces(route[order[first]], size[order[first]]):
+            low, high = first[a], first[b] if b < len(first) else len(order)
+            some, one = order[low:high], order[first[a:b]]
+            entry = np.repeat(np.arange(b - a), np.diff(np.r_[first[a:b], high]))
+            own = route[one]
+            same = np.r_[False, own[1:] == own[:-1]]
+            lone = ~(same | np.r_[same[1:], False])
+            shard = Shard(raw, start[one], size[one], lone, entry, weight[some])
+            bits[ranges(begin[some], count[some])] = search.resolve(shard, search.window)
         ends = np.cumsum([0, *[int(x.sum()) - (search.window - 1) * len(x) for x in sizes]])
         return _rows(REPLY, [[r["part"] for r in rows], [r["shard"] for r in rows], [2] * len(rows),
                              [pack(np.packbits(bits[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]])
     return run
 
 
+def _pieces(route: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut distinct segments, sorted by route, where routes change, at about PIECE symbols."""
+    ends = np.flatnonzero(np.r_[route[1:] != route[:-1], True]) + 1 if len(route) else np.zeros(0, int)
+    total, done = np.cumsum(size), 0
+    while done < len(route):
+        goal = (total[done - 1] if done else 0) + PIECE
+        fit = ends[(ends > done) & (total[ends - 1] <= goal)]
+        stop = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, done, "right")])
+        yield done, stop
+        done = stop
+
+
 def _values(raw: np.ndarray) -> np.ndarray:
     from .arrays import BYTE_VALUES
     return BYTE_VALUES[raw] if raw.dtype == np.uint8 else raw
@@ -294,19 +310,22 @@ def flagged(docs: pa.Table, replies: pa.Table, search: Search, shards: int,
             n = int(ends[-1])
             bits[begin[c.start]:begin[c.start] + n] = np.unpackbits(unpack(r["bits"], -(-n // 8), np.uint8), count=n)
     which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-    windows = count[which]
-    hit = bits[ranges(begin[which], windows)]
-    if local is not None:
-        hit |= np.repeat(local(ids_of(docs)[found.doc[order]], first), windows)
-    starts = ranges(found.first[order], windows)[hit]
+    own = local(ids_of(docs)[found.doc[order]], first) if local is not None else np.zeros(len(which), bool)
     flags = np.zeros(len(raw), bool)
-    flags[starts] = True
+    total = np.cumsum(count[which])
+    done = 0
+    while done < len(which):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + BLOCK, "right")))
+        w, some = which[done:stop], order[done:stop]
+        hit = bits[ranges(begin[w], count[w])] | np.repeat(own[done:stop], count[w])
+        flags[ranges(found.first[some], count[w])[hit]] = True
+        done = stop
     return raw, flags
 
 
 def covered(flags: np.ndarray, window: int) -> np.ndarray:
     """Symbols within ``window`` from a flagged start."""
-    total = np.cumsum(flags)
+    total = np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)
     total[window:] -= total[:-window].copy()
     return total > 0
 
@@ -314,16 +333,15 @@ def covered(flags: np.ndarray, window: int) -> np.ndarray:
 def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish, schema: str,
                    hot: int = HOT) -> DataFrame:
     """Run both rounds; ``finish(docs, replies, shards)`` makes the rows of each part."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = SPLIT * tasks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), F.col(key).cast("long").alias("id"),
-                        F.col(text).cast("string").alias("text")).repartition(tasks, "part")
+                        F.col(text).cast("string").alias("text")).repartition(n, "part")
     anchors = parts.groupBy("part").applyInArrow(_ask_anchors(search, n), REQUEST)
-    first = anchors.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_anchors(hot), REPLY)
-    asked = parts.groupBy("part").cogroup(first.repartition(tasks, "part").groupBy("part")).applyInArrow(_ask_segments(search, n), REQUEST)
-    second = asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_segments(search), REPLY)
-    replies = first.unionByName(second).repartition(tasks, "part")
+    first = anchors.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_anchors(hot), REPLY)
+    asked = parts.groupBy("part").cogroup(first.repartition(n, "part").groupBy("part")).applyInArrow(_ask_segments(search, n), REQUEST)
+    second = asked.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_segments(search), REPLY)
+    replies = first.unionByName(second).repartition(n, "part")
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         return finish(docs, replies, n)
