@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, dense, gram_hashes, mix, pack, prefix_hashes, ranges, slices, stretch_hashes, unpack
+from .arrays import (BYTE_VALUES, U64, dense, flat, gram_hashes, mix, pack, prefix_hashes, ranges,
+                     slices, stretch_hashes, unpack)
 
 #: Symbols of a shard that are resolved at a time (more only for one anchor's), and windows
 #: of a part whose flags are spread at a time.
@@ -113,7 +114,7 @@ def part_segments(column, search: Search, status=None):
     found, raws, symbols, texts = [], [], 0, 0
     for s in search.read(column):
         place, first, last, text, prefix, grams = segments(s, search.window, search.anchor)
-        route = grams[place]
+        route = mix(grams[place] + U64(1))  # anchors have small hashes; routes are even
         if status is None:
             found.append((route,))
             continue
@@ -253,9 +254,7 @@ def _answer_segments(search: Search):
             raws.append(unpack(r["raw"], int(size.sum()), search.raw))
         size, weight, route, raw = map(np.concatenate, (sizes, weights, routes, raws))
         start = np.cumsum(size) - size
-        values = np.concatenate([_values(x) for x in raws])
-        content = stretch_hashes(prefix_hashes(values), start, start + size)
-        del values
+        content = np.concatenate([_contents(x, n) for x, n in zip(raws, sizes, strict=True)])
         order, first = distinct(Segment(route, content, start, start, start))
         count = size - (search.window - 1)
         begin = np.cumsum(count) - count
@@ -287,9 +286,9 @@ def _pieces(route: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         done = stop
 
 
-def _values(raw: np.ndarray) -> np.ndarray:
-    from .arrays import BYTE_VALUES
-    return BYTE_VALUES[raw] if raw.dtype == np.uint8 else raw
+def _contents(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    end = np.cumsum(size)
+    return stretch_hashes(prefix_hashes(BYTE_VALUES[raw] if raw.dtype == np.uint8 else raw), end - size, end)
 
 
 def flagged(docs: pa.Table, replies: pa.Table, search: Search, shards: int,
@@ -351,7 +350,6 @@ def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish,
 
 def row_slices(column, read: Callable) -> Iterator[Symbols]:
     """Apply ``read(data, offsets)`` to slices of whole texts."""
-    from .arrays import flat
     data, offsets = flat(column)
     for a, b in slices(offsets):
         yield read(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
