@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .fm_dedup import dedup_passages
+from .minhash import near_duplicates
 from .suffix_dedup import dedup_substrings
 
 
@@ -22,5 +24,14 @@ def op2_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fm_dedup)}
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fm_dedup, op5_quality, op10_minhash)}
 SQL: dict[str, str] = {}
