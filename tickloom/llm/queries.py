@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from . import quality
 from .fm_dedup import dedup_passages
 from .minhash import near_duplicates
+from .mixing import mixture
+from .postings import contamination
 from .suffix_dedup import dedup_substrings
+from .url_trees import filter_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,14 +27,31 @@ def op2_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_postings(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents, _ = mixture(table(spark, folder, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fm_dedup, op5_quality, op10_minhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_fm_dedup, op3_postings, op4_url_trees, op5_quality, op6_mixing, op10_minhash)}
 SQL: dict[str, str] = {}
