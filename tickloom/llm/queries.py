@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from ..session import settle
+from . import licences, quality, warc
 from .fm_dedup import dedup_passages
 from .minhash import near_duplicates
 from .mixing import mixture
 from .postings import contamination
+from .rollups import Rollups, changes, count_tokens
 from .suffix_dedup import dedup_substrings
 from .url_trees import filter_urls
 
@@ -48,10 +50,45 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.new_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_archives(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come in, with their words counted by blanks only at first; that count is
+    revised, and documents whose text an earlier one has go. The last batch is sent twice."""
+    docs = table(spark, folder, "documents")
+    rough = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1, F.lit(0))
+    counts = settle(count_tokens(docs))
+    sized = docs.select("source", "lang", rough.alias("rough"))
+    text = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    first = text.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = counts.join(text.join(first, "hash").where("doc_id <> first").select("doc_id"), "doc_id", "left_semi")
+    store = Rollups(spark, warc.new_folder(spark, "rollups"))
+    store.commit("bpe", changes(counts, "byte_bpe_50k", "n_tokens", 1))
+    store.commit("words", changes(sized, "words", "rough", 1))
+    store.commit("revised", changes(sized, "words", "rough", -1).union(changes(counts, "words", "n_words", 1)))
+    for _ in range(2):
+        store.commit("copies", changes(copies, "byte_bpe_50k", "n_tokens", -1)
+                     .union(changes(copies, "words", "n_words", -1)))
+    return store.totals()
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=2)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_fm_dedup, op3_postings, op4_url_trees, op5_quality, op6_mixing, op10_minhash)}
+    op1_suffix_dedup, op2_fm_dedup, op3_postings, op4_url_trees, op5_quality, op6_mixing,
+    op7_licences, op8_warc, op9_rollups, op10_minhash)}
 SQL: dict[str, str] = {}
