@@ -19,7 +19,7 @@ executor's work is repeated with the same result. Hashes find candidates; what d
 is the ``resolve`` of the operator on the segments' symbols.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -330,12 +330,14 @@ def covered(flags: np.ndarray, window: int) -> np.ndarray:
 
 
 def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish, schema: str,
-                   hot: int = HOT) -> DataFrame:
-    """Run both rounds; ``finish(docs, replies, shards)`` makes the rows of each part."""
+                   hot: int = HOT, carry: Sequence[str] = ()) -> DataFrame:
+    """Run both rounds; ``finish(docs, replies, shards)`` makes the rows of each part, in
+    their order. The columns in ``carry`` are added as they are."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), F.col(key).cast("long").alias("id"),
-                        F.col(text).cast("string").alias("text")).repartition(n, "part")
+                        F.col(text).cast("string").alias("text"),
+                        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).repartition(n, "part")
     anchors = parts.groupBy("part").applyInArrow(_ask_anchors(search, n), REQUEST)
     first = anchors.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_anchors(hot), REPLY)
     asked = parts.groupBy("part").cogroup(first.repartition(n, "part").groupBy("part")).applyInArrow(_ask_segments(search, n), REQUEST)
@@ -343,9 +345,13 @@ def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish,
     replies = first.unionByName(second).repartition(n, "part")
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(docs, replies, n)
+        out = finish(docs, replies, n)
+        for i, name in enumerate(carry):
+            out = out.append_column(name, docs.column(f"carry_{i}"))
+        return out
 
-    return parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, schema)
+    whole = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    return parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, whole)
 
 
 def row_slices(column, read: Callable) -> Iterator[Symbols]:

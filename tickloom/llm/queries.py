@@ -88,7 +88,12 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=2)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_fm_dedup, op3_postings, op4_url_trees, op5_quality, op6_mixing,
-    op7_licences, op8_warc, op9_rollups, op10_minhash)}
+    op7_licences, op8_warc, op9_rollups, op10_minhash, pipeline)}
 SQL: dict[str, str] = {}

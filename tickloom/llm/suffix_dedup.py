@@ -8,6 +8,8 @@ Places left in one bucket start equal windows; the smallest document of each buc
 decides.
 """
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,13 +96,16 @@ def _later(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ids > np.repeat(_smallest(ids, first), np.diff(np.r_[first, len(ids)]))
 
 
-def _finish(search: Search):
+def _finish(search: Search, characters: bool):
     def run(docs: pa.Table, replies: pa.Table, shards: int) -> pa.Table:
         data, offsets = flat(docs.column("text"))
         removed = np.zeros(len(data), bool)
         if len(data):
             raw, flags = flagged(docs, replies, search, shards, _later)
             removed = covered(flags, search.window)
+            if characters:
+                which = np.cumsum((data & 0xC0) != 0x80)
+                removed = np.bincount(which, removed)[which] > 0
         kept_at = np.r_[0, np.cumsum(~removed)][offsets]
         n_bytes = np.diff(offsets)
         edge = np.diff(np.r_[0, removed.astype(np.int8)])
@@ -124,20 +129,17 @@ def _finish(search: Search):
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                     anchor: int = ANCHOR, hot: int | None = None) -> DataFrame:
+                     anchor: int = ANCHOR, hot: int | None = None, characters: bool = False,
+                     carry: Sequence[str] = ()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs) and kept (the other bytes).
 
     A byte goes if a string of ``window`` bytes around it also starts in a document with a
     smaller id; strings are judged on the input. Null and empty texts keep their row with
     no bytes. Rows with one id don't remove one another. A null id counts as largest and is
-    returned as null. Other columns are not read."""
+    returned as null. With ``characters`` a character goes whole if any of its bytes does.
+    Other columns are not read, but those in ``carry`` are added."""
     if not QGRAM <= anchor < window:
         raise ValueError("the anchor must have 8 bytes at least and be shorter than the window")
     search = Search(window, anchor, _read, np.uint8, _smallest, _earlier)
     extra = {} if hot is None else {"hot": hot}
-    return search_windows(docs, key, text, search, _finish(search), SCHEMA, **extra)
-
-
-def kept_text(data: bytes, n_bytes: int, spans) -> str:
-    """The kept bytes as text; a character cut by a span goes whole."""
-    return data.decode("utf-8", "ignore")
+    return search_windows(docs, key, text, search, _finish(search, characters), SCHEMA, carry=carry, **extra)
