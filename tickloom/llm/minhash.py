@@ -3,9 +3,10 @@
 Each permutation gives two signature values, the least and the greatest hash, so half as
 many permutations fill the bands. Equal sets are one class, looked up once. In a bucket of
 a band, classes are compared with the bucket's first one; what that joins is not
-compared again. Buckets that still hold several groups go on with the next pivots, twice as
-many each round, until no two groups of a bucket are uncompared: no pairs within a
-joined group are made, and none between groups is left out.
+compared again. Buckets that still hold several groups go on with the next four pivots,
+then sixteen, then the rest, until no two groups of a bucket are uncompared: no pairs
+within a joined group are made, and none between groups is left out. Two classes meet
+in several bands; they are paired in the first band that they share.
 """
 
 import numpy as np
@@ -19,6 +20,8 @@ from .arrays import SPACED, U64, binaries, flat, gram_hashes, mix, prefix_hashes
 
 #: 40 bands of 5 values: two sets with similarity 0.8 share none once in 8 million times.
 BANDS, ROWS = 40, 5
+#: Places in a bucket of the pivots of each round after the first.
+ROUNDS = ((1, 4), (5, 20), (21, 1 << 40))
 #: Ids that may be broadcast to pick documents: 16 MB at most.
 PICK = 1_000_000
 SKETCH = "id long, n long, set_a long, set_b long, bands binary"
@@ -96,11 +99,20 @@ def _band_rows(bands: int):
         for batch in batches:
             data, _ = flat(batch.column("bands"))
             yield pa.record_batch({"bucket": data.view(np.int64),
+                                   "band": np.tile(np.arange(bands), batch.num_rows),
                                    "id": np.repeat(batch.column("id").to_numpy(), bands),
                                    "n": np.repeat(batch.column("n").to_numpy(), bands)})
     return run
 
 
+def _digest_rows(batches):
+    """32 bits of each band, to tell which bands two classes share."""
+    for batch in batches:
+        data, offsets = flat(batch.column("bands"))
+        yield pa.record_batch({"id": batch.column("id"), "digests": pa.ListArray.from_arrays(
+            pa.array(offsets // 8, pa.int32()), pa.array((data.view(np.int64) >> 32).astype(np.int32)))})
+
+
 def _set_rows(size: int):
     def run(batches):
         for batch in batches:
@@ -170,7 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     some = sketch.where("n > 0 and id is not null")
     first = some.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands")).alias("one"))
     classes = settle(first.select("set_a", "set_b", "one.*"))
-    banded = classes.select("id", "n", "bands").mapInArrow(_band_rows(bands), "bucket long, id long, n long")
+    banded = classes.select("id", "n", "bands").mapInArrow(_band_rows(bands), "bucket long, band long, id long, n long")
     pivots = (banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("held"))
               .where("held > 1").select("bucket", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an")))
     crowded = settle(banded.join(pivots, "bucket"))
@@ -187,15 +199,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     mixed = (grouped(crowded).groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                                     F.count("*").alias("held")).where("low < high and held > 2"))
-    open_ = settle(crowded.select("bucket", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
-                   .withColumn("rank", rank))
-    low, last = 1, open_.agg(F.max("rank")).first()[0]
-    while last is not None and low < last:
+    inner = (crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
+             .withColumn("rank", rank))
+    digests = classes.join(inner.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
+        _digest_rows, "id long, digests array<int>")
+    open_ = settle(inner.join(digests, "id"))
+    last = open_.agg(F.max("rank")).first()[0] or 0
+    new = F.expr("not exists(sequence(0, 39), i -> i < band and digests[i] = ad[i])".replace("39", str(bands - 1)))
+    for low, high in ROUNDS:
+        if low >= last:
+            break
         now = grouped(open_)
-        pivot = now.where(F.col("rank").between(low, 2 * low)).select(
-            "bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"), F.col("label").alias("al"))
-        pairs = (now.join(pivot, "bucket").where("rank > ar and label <> al").where(close)
-                 .select("a", F.col("id").alias("b")).distinct())
+        pivot = now.where(F.col("rank").between(low, high)).select(
+            "bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"),
+            F.col("label").alias("al"), F.col("digests").alias("ad"))
+        pairs = (now.join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(new)
+                 .select("a", F.col("id").alias("b")))
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             more = settle(confirm(pairs, texts, size, percent))
@@ -203,7 +222,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             if not more.isEmpty():
                 links = links.union(more)
                 labels = components(links)
-        low = 2 * low + 1
     of_class = classes.select("set_a", "set_b", F.col("id").alias("class")).join(
         labels.withColumnRenamed("id", "class"), "class", "left").select(
         "set_a", "set_b", F.coalesce("label", "class").alias("label"))
