@@ -6,7 +6,7 @@ a band, classes are compared with the bucket's first one; what that joins is not
 compared again. Buckets that still hold several groups go on with the next four pivots,
 then sixteen, then the rest, until no two groups of a bucket are uncompared: no pairs
 within a joined group are made, and none between groups is left out. Two classes meet
-in several bands; they are paired in the first band that they share.
+in several bands; they are paired in the first two that they seem to share by 16 bits of each.
 """
 
 import numpy as np
@@ -106,11 +106,11 @@ def _band_rows(bands: int):
 
 
 def _digest_rows(batches):
-    """32 bits of each band, to tell which bands two classes share."""
+    """16 bits of each band, to tell which bands two classes may share."""
     for batch in batches:
         data, offsets = flat(batch.column("bands"))
         yield pa.record_batch({"id": batch.column("id"), "digests": pa.ListArray.from_arrays(
-            pa.array(offsets // 8, pa.int32()), pa.array((data.view(np.int64) >> 32).astype(np.int32)))})
+            pa.array(offsets // 8, pa.int32()), pa.array((data.view(np.int64) >> 48).astype(np.int16)))})
 
 
 def _set_rows(size: int):
@@ -140,7 +140,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     pairs with them, so a pivot of very many pairs is sent to each part once."""
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(4 * n)).cast("int"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"))
     wanted = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = settle(wanted.select("id").distinct())
     picked = docs.join(F.broadcast(ids) if ids.count() <= PICK else ids, "id", "left_semi").dropDuplicates(["id"])
@@ -201,20 +201,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                                                     F.count("*").alias("held")).where("low < high and held > 2"))
     inner = (crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
              .withColumn("rank", rank))
-    digests = classes.join(inner.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
-        _digest_rows, "id long, digests array<int>")
-    open_ = settle(inner.join(digests, "id"))
+    open_ = settle(inner)
+    digests = settle(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
+        _digest_rows, "id long, digests array<short>"))
     last = open_.agg(F.max("rank")).first()[0] or 0
-    new = F.expr("not exists(sequence(0, 39), i -> i < band and digests[i] = ad[i])".replace("39", str(bands - 1)))
+    new = F.expr(f"size(filter(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])) < 2")
     for low, high in ROUNDS:
         if low >= last:
             break
         now = grouped(open_)
-        pivot = now.where(F.col("rank").between(low, high)).select(
+        first = now.where(F.col("rank").between(low, high))
+        # only rows of another label than some pivot of their bucket can make a pair
+        seen = first.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        rest = now.join(seen, "bucket").where(f"rank > {low} and (label <> low or label <> high)").drop("low", "high")
+        pivot = first.join(digests, "id").select(
             "bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"),
             F.col("label").alias("al"), F.col("digests").alias("ad"))
-        pairs = (now.join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(new)
-                 .select("a", F.col("id").alias("b")))
+        pairs = (rest.join(digests, "id").join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(new)
+                 .select("a", F.col("id").alias("b")).distinct())
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             more = settle(confirm(pairs, texts, size, percent))
