@@ -132,11 +132,11 @@ def test_quality_report_finds_planted_faults(spark, to_bars):
     log = spark.createDataFrame([('{"ts":1,"as_of":1,"spec":{},"stats":{},"matched":[]}',), ('{"ts":1}',),
                                  ("{nonsense",)], "value string")
     rows = {r.check_name: r for r in quality.report(prices, universe, bench, day, prices, log).collect()}
-    assert rows["symbol coverage"].status == "FAIL" and rows["symbol coverage"].bad == 1
-    assert rows["bar integrity"].bad == 1 and rows["duplicate bars"].bad == 1
-    assert rows["volume liveness"].status == "WARN" and rows["store freshness"].status == "PASS"
+    assert rows["coverage"].status == "FAIL" and rows["coverage"].bad == 1
+    assert rows["integrity"].bad == 1 and rows["duplicates"].bad == 1
+    assert rows["liveness"].status == "WARN" and rows["freshness"].status == "PASS"
     assert rows["screen log"].status == "FAIL" and rows["screen log"].bad == 2
-    assert rows["RSI bounds"].status == "PASS" and rows["benchmark"].status == "PASS"
+    assert rows["rsi_range"].status == "PASS" and rows["benchmark"].status == "PASS"
     jump = quality.jumps(prices).collect()
     assert len(jump) == 1 and jump[0].split_like
     with pytest.raises(ValueError):

@@ -22,7 +22,7 @@ FORWARD, REPLAY = "forward", "replay"
 PENDING, ACTIVE, COMPLETED, DELETED = "pending", "active", "completed", "deleted"
 
 # Evidence thresholds.
-MIN_NAMES = 6
+MIN_NAMES = 20
 MIN_RETIREMENT_COHORTS = 6
 MIN_RETIREMENT_DAYS = 90
 RETIREMENT_HORIZON = 20

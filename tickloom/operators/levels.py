@@ -35,24 +35,25 @@ def pivot_steps(k: int = PIVOT_K) -> dict[str, Step]:
 
 def fold_levels(prices: Column, min_touches: int, tol_pct: float) -> Column:
     """Sorted prices to an array of (level, touches): a price joins the current
-    cluster while it is within ``tol_pct`` of the cluster's last member."""
+    cluster while it is within ``tol_pct`` of the cluster's last member. Prices are
+    added as decimals, so a level equals a price exactly or not at all."""
     empty = F.array().cast("array<struct<level:double,touches:int>>")
     start = F.struct(
-        F.lit(0.0).alias("total"), F.lit(0).alias("n"),
+        F.lit(0).cast("decimal(24,6)").alias("total"), F.lit(0).alias("n"),
         F.lit(None).cast("double").alias("last"), empty.alias("closed"))
 
     def closed_with(acc: Column) -> Column:
-        level = F.struct((acc["total"] / acc["n"]).alias("level"), acc["n"].alias("touches"))
+        level = F.struct((acc["total"].cast("double") / acc["n"]).alias("level"), acc["n"].alias("touches"))
         return F.when(acc["n"] >= min_touches,
                       F.concat(acc["closed"], F.array(level))).otherwise(acc["closed"])
 
     def merge(acc: Column, price: Column) -> Column:
         joins = 100 * (price - acc["last"]) / acc["last"] <= tol_pct
         return F.when(
-            joins, F.struct((acc["total"] + price).alias("total"),
+            joins, F.struct((acc["total"] + price.cast("decimal(18,6)")).cast("decimal(24,6)").alias("total"),
                             (acc["n"] + 1).alias("n"), price.alias("last"),
                             acc["closed"].alias("closed"))
-        ).otherwise(F.struct(price.alias("total"), F.lit(1).alias("n"), price.alias("last"),
+        ).otherwise(F.struct(price.cast("decimal(24,6)").alias("total"), F.lit(1).alias("n"), price.alias("last"),
                              closed_with(acc).alias("closed")))
 
     return F.aggregate(prices, start, merge, closed_with)

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.asof import fill_calendar
 from ..functions.steps import Step, add_steps
@@ -194,15 +195,15 @@ def evaluate(market: Market, conditions: Sequence[Condition], logic: str = "AND"
         *[c.name for c in conditions])
 
 
-def matches(evaluated: DataFrame, limit: int | None = 100) -> DataFrame:
+def matches(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
     """Matches, best three-month return first; ``limit`` is the display cap."""
     df = evaluated.filter("matched").orderBy(F.desc_nulls_last("ret_3m_pct"), "symbol")
     return df.limit(limit) if limit else df
 
 
-def near_misses(evaluated: DataFrame, limit: int | None = 15) -> DataFrame:
-    """Symbols that fail exactly one condition of an AND screen."""
-    df = (evaluated.filter(F.col("conditions_passed") == F.col("conditions_total") - 1)
+def near_misses(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
+    """Symbols that don't match and fail exactly one condition."""
+    df = (evaluated.filter(~F.col("matched") & (F.col("conditions_passed") == F.col("conditions_total") - 1))
           .orderBy(F.desc("conditions_passed"), "symbol"))
     return df.limit(limit) if limit else df
 
@@ -291,18 +292,13 @@ def batch(market: Market, screens: dict[str, tuple[Sequence[Condition], str]],
         found = found.join(seen, ["screen_id", "symbol"], "left")
     else:
         found = found.withColumn("_seen", F.lit(1))
-    # keep the three best per screen while aggregating, not the whole match list
-    best = F.struct((-F.coalesce("roc_63", F.lit(float("-inf")))).alias("order"), "symbol")
-    parts = (found.withColumn("_part", F.pmod(F.xxhash64("symbol"), F.lit(32)))
-             .groupBy("screen_id", "_part")
-             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_seen").isNull()).alias("new"),
-                  F.slice(F.array_sort(F.collect_list(best)), 1, 3).alias("top")))
-    merged = parts.groupBy("screen_id").agg(
-        F.sum("n").alias("matched"), F.sum("new").alias("new_since_last"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 3).alias("_top"))
-    return merged.select("screen_id", "matched",
-                         F.transform("_top", lambda x: x["symbol"]).alias("top3"),
-                         "new_since_last")
+    order = Window.partitionBy("screen_id").orderBy(F.desc_nulls_last("roc_63"), "symbol")
+    best = (found.withColumn("_place", F.row_number().over(order)).filter("_place <= 3")
+            .groupBy("screen_id").agg(F.array_sort(F.collect_list(F.struct("_place", "symbol"))).alias("_top")))
+    counts = found.groupBy("screen_id").agg(F.count(F.lit(1)).alias("matched"),
+                                            F.count_if(F.col("_seen").isNull()).alias("new_since_last"))
+    return counts.join(best, "screen_id").select(
+        "screen_id", "matched", F.col("_top.symbol").alias("top3"), "new_since_last")
 
 
 def run_diff(current: DataFrame, previous: DataFrame) -> DataFrame:

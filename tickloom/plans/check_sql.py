@@ -226,7 +226,7 @@ def _levels(p: str, now: str) -> list[str]:
         f"then 1 else 0 end) over (partition by symbol, i order by price "
         f"rows unbounded preceding) as isl from {now}_near)",
         f"{now}_lev as materialized (select symbol, i, isl, any_value(close) as close, "
-        f"avg(price) as level, count(*) as touches from {now}_isl group by symbol, i, isl "
+        f"sum(price::decimal(18, 6))::double / count(*) as level, count(*) as touches from {now}_isl group by symbol, i, isl "
         f"having count(*) >= 2)",
         f"{now}_sr as materialized (select symbol, i, max(level) filter (level <= close) as support, "
         f"min(level) filter (level > close) as resistance from {now}_lev group by symbol, i)",

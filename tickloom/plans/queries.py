@@ -33,7 +33,7 @@ from ..operators.levels import level_steps
 from ..schema import OHLCV, ROC_PERIODS, WEEKLY_FIELDS
 from ..sources import bars as src
 from ..sources.lineitem_bars import load_bars, load_universe, mean_close
-from .catalogue import PRESETS, worked_examples
+from .catalogue import PRESETS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,9 +131,7 @@ STUDY_SCREENS = {
     "gap_or_spike": ([gap("up", 2.0, 1), volume_spike(1.8)], "OR"),
 }
 GRID_SCREEN = [within("rsi", max=40), volume_spike(1.2)]
-BATCH_SCREENS = {k: (PRESETS[k], "AND") for k in (
-    "support_50ema_uptrend", "flat_base_52w", "tsmom_regime", "near_support_outperformer",
-    "rs_leader_near_high", "lowvol_defensive", "weekly_squeeze")}
+BATCH_SCREENS = {k: (v, "AND") for k, v in PRESETS.items()}
 CAPITAL = 100_000.0
 COHORT_ANCHOR = dt.date(1995, 3, 1)
 
@@ -316,7 +314,7 @@ def q_pivots(spark, folder):
 def q_sr_levels(spark, folder):
     df = add_steps(number_bars(load_bars(spark, folder), 60), level_steps(), ["levels"])
     return df.select("symbol", "date", F.explode("levels").alias("v")).select(
-        "symbol", "date", F.round("v.level", 6).alias("level"), "v.touches")
+        "symbol", "date", F.round("v.level", 10).alias("level"), "v.touches")
 
 
 def q_nearest_levels(spark, folder):
@@ -833,6 +831,4 @@ def registered() -> dict[str, Query]:
         out[f"condition_{name}"] = _screen_query([condition])
     for name in PRESETS:
         out[f"preset_{name}"] = _screen_query(preset_conditions(name))
-    for name, (conditions, logic) in worked_examples(SECTORS).items():
-        out[f"screen_{name}"] = _screen_query(conditions, logic)
     return out

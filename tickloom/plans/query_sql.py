@@ -3,7 +3,7 @@
 from ..operators.conditions import Condition
 from ..operators.event_study import variants
 from . import queries as q
-from .catalogue import PRESETS, worked_examples
+from .catalogue import PRESETS
 from .check_sql import (BARS, W, WEEKLY_BARS, breadth_select, chain, combined, condition_fields,
                         daily_fields, gated, panel_sql, signal_bars_sql, signal_ctes, statement,
                         tail, weekly_panel_sql)
@@ -404,10 +404,10 @@ def sizing_ctes(method: str, max_positions: int = 15) -> list[str]:
   select pid, k, used + case when reason is null then worth else 0 end,
     case when reason is null then list_append(placed, {{'s': sector, 'v': worth}}) else placed end,
     shares, worth, reason from (
-    select *, case when shares <= 0 and lft <= 0 then 'capital fully deployed'
-      when shares <= 0 and room <= 0 then 'sector cap exhausted'
-      when shares <= 0 then 'position sizes to zero shares'
-      when worth < 5000 then 'below minimum ticket size' end as reason from (
+    select *, case when shares <= 0 and lft <= 0 then 'capital_spent'
+      when shares <= 0 and room <= 0 then 'sector_full'
+      when shares <= 0 then 'zero_shares'
+      when worth < 5000 then 'small_ticket' end as reason from (
       select *, shares*entry as worth from (
         select *, floor(least(target, {cap}*15/100, greatest(room, 0), greatest(lft, 0))/entry)::bigint
           as shares from (
@@ -422,8 +422,8 @@ def sizing_ctes(method: str, max_positions: int = 15) -> list[str]:
     case when f.reason is null and f.k is not null then 100*f.worth/{cap} end as pct_of_capital,
     case when f.reason is null and f.k is not null then c.entry - 2*c.atr end as stop_level,
     case when f.reason is null and f.k is not null then f.shares*2*c.atr end as risk,
-    case when c.rank > {max_positions} then 'beyond max_positions'
-         when c.atr is null or c.atr <= 0 then 'ATR unavailable' else f.reason end as reason,
+    case when c.rank > {max_positions} then 'over_count'
+         when c.atr is null or c.atr <= 0 then 'no_atr' else f.reason end as reason,
     '{method}' as method
   from {t}_cand c left join {t}_tgt g on g.portfolio_id = c.portfolio_id and g.rank = c.rank
   left join {t}_fold f on f.pid = c.portfolio_id and f.k = g.k and f.k > 0)"""]
@@ -497,10 +497,10 @@ def mile_sql(select: str, *more: str) -> str:
 
 
 CARD = """, count(*) as n_cohorts, sum(n_symbols)::bigint as n_names,
-  not (sum(n_symbols) >= 6 and count(excess_net) > 0) as insufficient,
-  case when sum(n_symbols) >= 6 then avg(excess_net) end as mean_excess_net,
-  case when sum(n_symbols) >= 6 then median(excess_net) end as median_excess_net,
-  case when sum(n_symbols) >= 6 then avg(cast(excess_net > 0 as int)) end as hit_rate"""
+  not (sum(n_symbols) >= 20 and count(excess_net) > 0) as insufficient,
+  case when sum(n_symbols) >= 20 then avg(excess_net) end as mean_excess_net,
+  case when sum(n_symbols) >= 20 then median(excess_net) end as median_excess_net,
+  case when sum(n_symbols) >= 20 then avg(cast(excess_net > 0 as int)) end as hit_rate"""
 
 
 def _scorecard_sql() -> str:
@@ -601,34 +601,34 @@ JUMPS = ("select * from (select symbol, date, lag(close) over (partition by symb
          "prev_close, close from store) where abs(close/prev_close - 1) > 0.4")
 CHECKS = {
     "check_coverage": check_sql(
-        "symbol coverage", "select (select count(distinct symbol) from store) as got, "
+        "coverage", "select (select count(distinct symbol) from store) as got, "
         "(select count(*) from universe) as want, (select count(*) from universe where symbol not in "
         "(select symbol from store)) as gone",
         "case when 100.0*got/want >= 97 then 'PASS' when 100.0*got/want >= 90 then 'WARN' else 'FAIL' end",
         "100.0::double*got/want", "gone"),
     "check_freshness": check_sql(
-        "store freshness", "select datediff('day', max(date), date '1998-12-03') as age from store",
+        "freshness", "select datediff('day', max(date), date '1998-12-03') as age from store",
         grade("age <= 5", "FAIL"), "age", "age > 5"),
     "check_history_depth": check_sql(
-        "history depth", "select datediff('day', min(date), max(date))/365.25::double as span from store",
+        "depth", "select datediff('day', min(date), max(date))/365.25::double as span from store",
         grade("span >= 4.5", "WARN"), "span", "not span >= 4.5"),
     "check_symbol_depth": check_sql(
-        "per-symbol depth", "select count(*) filter (n < 250) as thin, count(*) as tot from "
+        "symbol_depth", "select count(*) filter (n < 250) as thin, count(*) as tot from "
         "(select symbol, count(*) as n from store group by 1)",
         grade("thin <= 0.05*tot", "WARN"), "tot", "thin"),
     "check_bar_integrity": check_sql(
-        "bar integrity", f"select count(*) filter ({BAD}) as bad, count(*) as n from store",
+        "integrity", f"select count(*) filter ({BAD}) as bad, count(*) as n from store",
         grade("bad = 0", "FAIL"), "n", "bad"),
     "check_duplicates": check_sql(
-        "duplicate bars", "select sum(n - 1) as bad, sum(n) as n from (select count(*) as n from store "
+        "duplicates", "select sum(n - 1) as bad, sum(n) as n from (select count(*) as n from store "
         "group by symbol, date)", grade("bad = 0", "FAIL"), "n", "bad"),
     "check_volume_liveness": check_sql(
-        "volume liveness", "select count(*) filter (z > 0.5) as bad, count(*) as n from (select symbol, "
+        "liveness", "select count(*) filter (z > 0.5) as bad, count(*) as n from (select symbol, "
         "avg(cast(volume = 0 as int)) as z from (select *, row_number() over (partition by symbol "
         "order by date desc) as k from store) where k <= 20 group by 1)",
         grade("bad = 0", "WARN"), "n", "bad"),
     "check_adjustment_smell": check_sql(
-        "adjustment smell test", f"select (select count(*) from ({JUMPS})) as bad, "
+        "jumps", f"select (select count(*) from ({JUMPS})) as bad, "
         "(select count(distinct symbol) from store) as n",
         grade("bad <= greatest(2, n // 100)", "WARN"), "n", "bad"),
 }
@@ -641,7 +641,7 @@ BENCH_CHECK = check_sql(
 def spot_ctes(source: str) -> list[str]:
     ctes, last = chain(source, "k", daily_fields(), ["rsi", "ema_50"])
     return [f"longest as (select symbol from (select symbol, count(*) as c from {source} group by 1) "
-            f"where c >= 60 order by c desc, symbol limit 25)", *ctes,
+            f"where c >= 60)", *ctes,
             f"spot as (select symbol, rsi, close, ema_50, count(rsi) over z as kr, count(ema_50) over z "
             f"as ke from {last} where symbol in (select symbol from longest) window z as "
             f"(partition by symbol order by date desc))",
@@ -649,9 +649,9 @@ def spot_ctes(source: str) -> list[str]:
             "avg(case when ke <= 250 then abs(close/ema_50 - 1) end) as g from spot group by 1)"]
 
 
-SPOT = (check_sql("RSI bounds", "select count(*) as n, count(*) filter (rb) as bad from spot1",
+SPOT = (check_sql("rsi_range", "select count(*) as n, count(*) filter (rb) as bad from spot1",
                   grade("bad = 0", "FAIL"), "n", "bad") + " union all "
-        + check_sql("EMA50 plausibility",
+        + check_sql("ema_distance",
                     "select count(*) as n, count(*) filter (g > 0.15) as bad from spot1",
                     grade("bad = 0", "WARN"), "n", "bad"))
 DIFF = """diff as materialized (select a.symbol, a.date, a.close as close_a, b.close as close_b,
@@ -762,8 +762,8 @@ def statements() -> dict[str, str]:
         "sensitivity_grid": _sensitivity_sql(),
         "sizing_candidates": with_bars(
             sizing_ctes("risk", 10), "select portfolio_id, rank::int as rank, symbol, "
-            + r("entry", "atr", "atr_pct") + ", sector, case when rank > 10 then 'beyond max_positions' "
-            "when atr is null or atr <= 0 then 'ATR unavailable' end as reason from risk_cand"),
+            + r("entry", "atr", "atr_pct") + ", sector, case when rank > 10 then 'over_count' "
+            "when atr is null or atr <= 0 then 'no_atr' end as reason from risk_cand"),
         "sizing_summary": _sizing_summary_sql(),
         "cohort_equal_weights": cohort_sql("select * from members"),
         "cohort_value_weights": "select s_nationkey as cohort_id, cast(s_suppkey as varchar) as symbol, "
@@ -836,7 +836,7 @@ def statements() -> dict[str, str]:
     out["breadth"] = with_bars(ctes, f"select date, {r('pct_above_200dma', 'pct_at_20d_high')}, n_symbols "
                                      f"from ({breadth_select(last)})")
     ctes, last = chain("bars", "d", daily_fields(), ["support"])
-    out["sr_levels"] = with_bars(ctes, "select l.symbol, b.date, round(level, 6) as level, touches::int as "
+    out["sr_levels"] = with_bars(ctes, "select l.symbol, b.date, round(level, 10) as level, touches::int as "
                                        f"touches from d2_lev l join {last} b on b.symbol = l.symbol and b.i = l.i")
     ctes, last = signal_ctes([q.rs_percentile(">=", 0), q.rs_percentile(">=", 0, basis="mom_12_1"),
                               q.atr_pct_percentile(">=", 0), q.sector_rank(63, top=1)])
@@ -849,6 +849,4 @@ def statements() -> dict[str, str]:
         out[f"condition_{name}"] = signal_bars_sql([condition])
     for name in PRESETS:
         out[f"preset_{name}"] = signal_bars_sql(q.preset_conditions(name))
-    for name, (conditions, logic) in worked_examples(q.SECTORS).items():
-        out[f"screen_{name}"] = signal_bars_sql(conditions, logic)
     return out
