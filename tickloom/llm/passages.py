@@ -179,7 +179,9 @@ def _rows(schema: str, columns: list) -> pa.Table:
 
 
 def _cut(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
-    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
+    if not len(shard):
+        return
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     for a, b in zip(first, [*first[1:], len(shard)], strict=True):
         yield int(shard[a]), slice(a, b)
 

@@ -1,8 +1,10 @@
 """URL filters: domain and path rules, and boosted trees for the URLs that no rule fits.
 
 All on DataFrames and Spark's own tree learner. Features are lexical: lengths, depth,
-shares of digits and signs, entropy, parameter counts, and statistics of the host's last
-label over the labelled rows. URLs with a rule are the labelled ones.
+shares of digits and signs, entropy, parameter counts, and length and share of vowels of
+the host's last label. How often that label is blocked, or seen, is left out: rules go by
+it, so trees that are told it learn the rules and judge no other. URLs with a rule are
+the labelled ones.
 """
 
 from collections.abc import Sequence
@@ -20,12 +22,10 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
          ("net/es/", "block"), ("net/fr/", "block"))
 #: Labelled rows that the trees are fitted on at most, those with the smallest hash.
 SAMPLE_ROWS, TREES, DEPTH, SEED = 10_000, 12, 4, 7
-#: Suffixes whose statistics are kept at most (the most frequent); others get the overall share.
-SUFFIXES = 1000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "sign_ratio",
             "entropy", "parameters", "hyphens", "has_fragment", "is_https", "longest_segment",
-            "suffix_share", "suffix_blocked")
+            "suffix_length", "suffix_vowels")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -57,9 +57,9 @@ def entropy(c: Column) -> Column:
 
 
 def lexical(frame: DataFrame) -> DataFrame:
-    """Adds the features (not those of suffixes) to (url, host, path)."""
+    """Adds the features to (url, host, path)."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    segments = F.split(F.col("path"), "/")
+    segments, suffix = F.split(F.col("path"), "/"), F.regexp_extract("host", r"([^.]*)$", 1)
     columns = {
         "url_length": F.length(url), "host_length": F.length("host"), "path_length": F.length("path"),
         "labels": F.size(F.split("host", r"\.")), "depth": F.regexp_count("path", F.lit("/")),
@@ -67,33 +67,26 @@ def lexical(frame: DataFrame) -> DataFrame:
         "entropy": entropy(F.concat("host", "path")), "parameters": F.regexp_count(url, F.lit("[?&][^?&#=]+=")),
         "hyphens": F.regexp_count("host", F.lit("-")), "has_fragment": url.contains("#").cast("int"),
         "is_https": url.startswith("https://").cast("int"),
+        "suffix_length": F.length(suffix), "suffix_vowels": share(suffix, "[aeiou]"),
         "longest_segment": F.array_max(F.transform(segments, F.length)),
     }
-    return frame.withColumns({k: v.cast("double") for k, v in columns.items()}).withColumn(
-        "suffix", F.regexp_extract("host", r"([^.]*)$", 1))
+    return frame.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, sample_rows: int = SAMPLE_ROWS):
-    """(model or the only verdict, suffix statistics) from (url, host, path, verdict)."""
+    """The model, or the only verdict, from (url, host, path, verdict)."""
     chosen = settle(lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows))
                     .withColumn("label", (F.col("verdict") == "block").cast("double")))
     whole = chosen.agg(F.count("*").alias("n"), F.avg("label").alias("blocked")).first()
     if not whole["n"] or whole["blocked"] in (0.0, 1.0):
-        return "block" if whole["blocked"] == 1.0 else "allow", None
-    stats = (chosen.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-             .orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-             .select("suffix", (F.col("n") / whole["n"]).alias("suffix_share"),
-                     ((F.col("bad") + whole["blocked"]) / (F.col("n") + 1)).alias("suffix_blocked")))
-    stats = settle(stats)
-    rows = assembled(chosen, stats, whole["blocked"])
+        return "block" if whole["blocked"] == 1.0 else "allow"
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=SEED,
-                          cacheNodeIds=False).fit(rows.select("features", "label").coalesce(1))
-    return model, (stats, whole["blocked"])
+                          cacheNodeIds=False).fit(
+        assembled(chosen).select("features", "label").coalesce(1))
+    return model
 
 
-def assembled(frame: DataFrame, stats: DataFrame, blocked: float) -> DataFrame:
-    frame = (frame.join(F.broadcast(stats), "suffix", "left")
-             .fillna({"suffix_share": 0.0, "suffix_blocked": blocked}))
+def assembled(frame: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(frame)
 
 
@@ -109,9 +102,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, key:
     host, path = parts(F.col("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumn("fit", rule(F.col("host"), F.col("path"), rules))
-    model, stats = train(rows.where("fit is not null").select("url", "host", "path", "fit.verdict"))
+    model = train(rows.where("fit is not null").select("url", "host", "path", "fit.verdict"))
     if isinstance(model, GBTClassificationModel):
-        scored = model.transform(assembled(lexical(rows), *stats)).withColumn(
+        scored = model.transform(assembled(lexical(rows))).withColumn(
             "score", F.round(vector_to_array("probability")[1], 9))
         judged = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     else:
