@@ -22,6 +22,8 @@ from .arrays import SPACED, U64, binaries, flat, gram_hashes, mix, prefix_hashes
 BANDS, ROWS = 40, 5
 #: Places in a bucket of the pivots of each round after the first.
 ROUNDS = ((1, 4), (5, 20), (21, 1 << 40))
+#: Tables of ids and links are this much narrower than texts, and have so many fewer partitions.
+NARROW = 8
 #: Ids that may be broadcast to pick documents: 16 MB at most.
 PICK = 1_000_000
 SKETCH = "id long, n long, set_a long, set_b long, bands binary"
@@ -142,7 +144,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"))
     wanted = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = settle(wanted.select("id").distinct())
+    ids = settle_narrow(wanted.select("id").distinct())
     picked = docs.join(F.broadcast(ids) if ids.count() <= PICK else ids, "id", "left_semi").dropDuplicates(["id"])
     sets = picked.mapInArrow(_set_rows(size), "id long, grams binary").join(wanted, "id")
     return (dealt.repartition(n, "part").groupBy("part")
@@ -150,20 +152,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             .applyInArrow(_confirm(percent), "a long, b long"))
 
 
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """A settled table of ids or links, in fewer files than texts would need."""
+    return settle(df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable, for all ids that have links. Labels spread
-    along links and then jump to their own label's, until none changes."""
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
-                    .withColumn("label", F.least("id", "label")))
+    along links, and every third time jump to their own label's, until none changes."""
+    both = settle_narrow(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle_narrow(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
+                           .withColumn("label", F.least("id", "label")))
+    turn = 0
     while True:
+        turn += 1
+        if turn % 3 == 0:
+            far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+            labels = settle_narrow(labels.join(far, "label").select("id", F.col("far").alias("label")))
         near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
                 .agg(F.min("label").alias("near")))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("to"))
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        after = settle(step.join(jump, "to", "left")
-                       .select("id", F.least("to", F.coalesce("far", "to")).alias("label"),
-                               (F.least("to", F.coalesce("far", "to")) < F.col("label")).alias("moved")))
+        after = settle_narrow(labels.join(near, "id").select("id", F.least("label", "near").alias("label"),
+                                                             (F.col("near") < F.col("label")).alias("moved")))
         labels = after.select("id", "label")
         if after.where("moved").isEmpty():
             return labels
@@ -188,8 +197,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     crowded = settle(banded.join(pivots, "bucket"))
     close = F.expr(f"100 * least(an, n) >= {percent} * greatest(an, n)")
     texts = docs.where("id is not null")
-    tested = settle(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
-    links = settle(confirm(tested, texts, size, percent))
+    tested = settle_narrow(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
+    links = settle_narrow(confirm(tested, texts, size, percent))
     labels = components(links)
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
 
@@ -201,8 +210,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                                                     F.count("*").alias("held")).where("low < high and held > 2"))
     inner = (crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
              .withColumn("rank", rank))
-    open_ = settle(inner)
-    digests = settle(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
+    open_ = settle_narrow(inner)
+    digests = settle_narrow(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
         _digest_rows, "id long, digests array<short>"))
     last = open_.agg(F.max("rank")).first()[0] or 0
     new = F.expr(f"size(filter(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])) < 2")
@@ -219,9 +228,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             F.col("label").alias("al"), F.col("digests").alias("ad"))
         pairs = (rest.join(digests, "id").join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(new)
                  .select("a", F.col("id").alias("b")).distinct())
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = settle_narrow(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more = settle(confirm(pairs, texts, size, percent))
+            more = settle_narrow(confirm(pairs, texts, size, percent))
             tested = tested.union(pairs)
             if not more.isEmpty():
                 links = links.union(more)
