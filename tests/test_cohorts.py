@@ -96,7 +96,7 @@ def test_scorecard_and_retirement(spark):
                                    dt.date(2024, 1, 2))]
     cohorts = spark.createDataFrame(rows, COHORT)
     miles = spark.createDataFrame(
-        [(f"f{i}", 20, 2, -0.01 * (i + 1)) for i in range(6)] + [("r", 20, 20, 0.5)],
+        [(f"f{i}", 20, 4, -0.01 * (i + 1)) for i in range(6)] + [("r", 20, 20, 0.5)],
         "cohort_id string, horizon int, n_symbols int, excess_net double")
     card = {r["mode"]: r for r in co.scorecard(cohorts, miles).collect()}
     assert card["forward"].mean_excess_net == pytest.approx(-0.035)
@@ -106,6 +106,9 @@ def test_scorecard_and_retirement(spark):
     assert list(verdicts.values()) == ["insufficient_evidence", "retire"]
     few = co.scorecard(cohorts.filter("cohort_id in ('f0', 'f1')"), miles).first()
     assert few.insufficient and few.mean_excess_net is None
+    for names, hidden in ((19, True), (20, False)):
+        one = co.scorecard(cohorts.filter("cohort_id = 'r'"), miles.withColumn("n_symbols", F.lit(names))).first()
+        assert one.insufficient is hidden
 
 
 def test_resolve_as_of(spark, to_bars):
