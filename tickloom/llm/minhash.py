@@ -178,6 +178,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links. Those join whole groups, so only the groups' labels are
+    walked, and ids that had no links come in with the label found for them."""
+    ends = more
+    for side in ("a", "b"):
+        ends = (ends.join(labels.select(F.col("id").alias(side), "label"), side, "left")
+                .withColumn(side, F.coalesce("label", side)).drop("label"))
+    groups = components(ends.distinct())
+    old = (labels.join(groups.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+           .select("id", F.coalesce("to", "label").alias("label")))
+    return settle_narrow(old.union(groups.join(labels.select("id"), "id", "left_anti").select("id", "label")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links of
@@ -198,8 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     close = F.expr(f"100 * least(an, n) >= {percent} * greatest(an, n)")
     texts = docs.where("id is not null")
     tested = settle_narrow(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
-    links = settle_narrow(confirm(tested, texts, size, percent))
-    labels = components(links)
+    labels = components(settle_narrow(confirm(tested, texts, size, percent)))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
 
     def grouped(frame: DataFrame) -> DataFrame:
@@ -233,8 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             more = settle_narrow(confirm(pairs, texts, size, percent))
             tested = tested.union(pairs)
             if not more.isEmpty():
-                links = links.union(more)
-                labels = components(links)
+                labels = merged(labels, more)
     of_class = classes.select("set_a", "set_b", F.col("id").alias("class")).join(
         labels.withColumnRenamed("id", "class"), "class", "left").select(
         "set_a", "set_b", F.coalesce("label", "class").alias("label"))
