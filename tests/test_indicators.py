@@ -70,6 +70,22 @@ def test_smoothing_over_several_blocks(spark, to_bars):
         ewm_steps("y", "close", 0.9, 2)
 
 
+def test_smoothing_over_gaps(spark):
+    long = 100 + np.random.default_rng(1).normal(size=9500).cumsum()
+    sparse, hole, rare = long.copy(), long.copy(), long.copy()
+    sparse[::2] = np.nan
+    hole[50:8900] = np.nan
+    rare[np.arange(len(rare)) % 997 > 0] = np.nan
+    series = {"short": [1, np.nan, 2], "sparse": sparse, "hole": hole, "rare": rare, "none": [np.nan] * 70}
+    days = pd.date_range("1970-01-01", periods=9500).date
+    bars = spark.createDataFrame([(s, days[i], None if np.isnan(v) else float(v)) for s, x in series.items()
+                                  for i, v in enumerate(x)], "symbol string, date date, close double")
+    got = add_steps(number_bars(bars), ewm_steps("y", "close", 2 / 11, 1), ["y"]).toPandas().sort_values("date")
+    for s, x in series.items():
+        np.testing.assert_allclose(got.y[got.symbol == s], smooth(pd.Series(x, dtype=float), 2 / 11, 1), rtol=1e-11)
+    np.testing.assert_allclose(got.y[got.symbol == "short"], [1, 1, 1.2136], atol=1e-4)
+
+
 def test_stochastic_by_hand(to_bars):
     close = [10, 11, 12, 11, 13, 14, 13, 12, 15, 12]
     high, low = [c + 1 for c in close], [c - 1 for c in close]

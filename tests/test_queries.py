@@ -11,7 +11,7 @@ from tickloom.plans.catalogue import PRESETS, needs_sectors
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ("flagship", "adjusted_bars", "asof_join", "weekly_indicators", "indicator_adx",
           "indicator_macd", "nearest_levels", "cross_section", "condition_weekly_trend",
-          "condition_bb_squeeze", "preset_minervini_stage2", "evidence", "events",
+          "condition_bb_squeeze", "preset_minervini_stage2", "evidence", "events", "bootstrap_interval", "indicator_ema_gaps",
           "sizing_risk", "cohort_milestones", "cohort_performance", "check_report")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -38,9 +38,8 @@ def test_query_equals_its_sql(spark, name):
 def test_registry_is_complete():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
-    # resampling draws its own numbers; it is tested for determinism and coverage
     own = {k for k in queries if k != "pipeline" and not k.startswith("op")}
-    assert own - set(sqls) == {"bootstrap_interval"}
+    assert own == own & set(sqls)
     assert len(PRESETS) == 31
     assert {f"preset_{p}" for p in PRESETS} <= set(queries)
     used = {x.kind for x in [*sum(PRESETS.values(), [])]}

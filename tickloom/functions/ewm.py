@@ -1,21 +1,22 @@
 """Exponential smoothing as plain window sums.
 
-``y[t] = (1-a) y[t-1] + a x[t]``, seeded with the first non-null ``x`` and null
-until ``min_periods`` inputs were seen, has the closed form::
+``y[t] = (b^g y[s] + a x[t]) / (b^g + a)`` with ``b = 1 - a``, where ``s`` is the last bar
+before ``t`` with an input and ``g = t - s``; without gaps that is ``b y[t-1] + a x[t]``.
+It starts at the first input, stays as it is on bars without one, and is null until
+``min_periods`` inputs were seen.
 
-    y[t] = a * sum(b^(t-i) x[i])  +  b^(t-f+1) x[f]          b = 1 - a
+Each input i has a share ``d[i]``: 1 for the first, else ``a / (b^g + a)``. What went before
+it keeps ``b^g exp(e[i])`` with ``e[i] = -log(b^g + a)``, which is 0 where ``g`` is 1. So::
 
-with ``f`` the position of the first non-null input. The sum is taken inside
-blocks of ``BLOCK`` bars with exponents centred on the block, so powers stay
-inside the double range, and carries over exactly one block: what lies further
-back weighs less than b^4096. Those two needs bound the smoothing:
-0.00995 <= a <= 0.25 (spans 7 to 200).
+    y[t] = sum(d[i] x[i] b^(s-i) exp(E[s] - E[i]))          E = running sum of e
 
-Inputs are null only before their first value (warm-up). That holds for every
-series here: smoothed directional movement stays positive once it was, so the
-directional index never becomes null again.
+The sum is taken inside blocks of ``BLOCK`` bars with exponents centred on the block, so
+powers stay inside the double range as long as a <= 0.25. Results of closed blocks, one
+per ``BLOCK`` bars, are folded in order and carried over.
 """
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 from .steps import Step
 from .windows import BLOCK, history, so_far
 
-MIN_ALPHA, MAX_ALPHA = 2 / 201, 0.25
+MAX_ALPHA = 0.25
 
 
 def span_alpha(n: int) -> float:
@@ -36,37 +37,71 @@ def wilder_alpha(n: int) -> float:
 
 def ewm_steps(out: str, x: str, alpha: float, min_periods: int) -> dict[str, Step]:
     """Steps that add ``out``, the smoothing of column ``x``."""
-    if not MIN_ALPHA - 1e-12 <= alpha <= MAX_ALPHA:
-        raise ValueError(f"smoothing factor {alpha} outside [{MIN_ALPHA}, {MAX_ALPHA}]")
+    if not 0 < alpha <= MAX_ALPHA + 1e-12:
+        raise ValueError(f"smoothing factor {alpha} outside (0, {MAX_ALPHA}]")
     b = 1.0 - alpha
+    log_b = math.log(b)
+    block = (Window.partitionBy("symbol", "_blk").orderBy("date")
+             .rowsBetween(Window.unboundedPreceding, 0))
+
+    def start() -> Column:
+        return F.col("_blk") * BLOCK
+
+    def at() -> Column:
+        """Where the last input is, of this bar or before."""
+        return F.when(F.col(x).isNotNull(), F.col("bar_idx")).otherwise(F.col(f"_{x}_prev"))
+
+    def excess_of(gap: Column) -> Column:
+        return F.when(gap > 1, -F.log(F.pow(F.lit(b), gap) + alpha)).otherwise(0.0)
+
+    def excess() -> Column:
+        inside = F.col(x).isNotNull() & (F.col(f"_{x}_prev") >= start())
+        e = F.when(inside, excess_of(F.col("bar_idx") - F.col(f"_{x}_prev")))
+        return F.coalesce(F.sum(e).over(block), F.lit(0.0))
+
+    def power(steps: Column, sign: int) -> Column:
+        """b^(sign steps) exp(sign E), plain where E is 0."""
+        e = F.col(f"_{out}_excess")
+        return F.when(e == 0, F.pow(F.lit(b), sign * steps)).otherwise(F.exp(sign * (steps * log_b + e)))
 
     def local() -> Column:
-        offset = F.col("bar_idx") % BLOCK - BLOCK // 2
-        block = (Window.partitionBy("symbol", "_blk").orderBy("date")
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum(F.col(x) * F.pow(F.lit(b), -offset)).over(block)
-        return F.coalesce(total, F.lit(0.0)) * F.pow(F.lit(b), offset) * alpha
+        middle = start() + BLOCK // 2
+        gap = F.col("bar_idx") - F.col(f"_{x}_prev")
+        share = (F.when(gap.isNull(), 1.0).when(gap == 1, alpha)
+                 .otherwise(alpha / (F.pow(F.lit(b), gap) + alpha)))
+        total = F.sum(F.col(x) * share * power(F.col("bar_idx") - middle, -1)).over(block)
+        return total * power(at() - middle, 1)
 
     def carried() -> Column:
-        closed = F.when(F.col("bar_idx") % BLOCK == BLOCK - 1, F.col(f"_{out}_local"))
-        earlier = history().rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.last(closed, ignorenulls=True).over(earlier), F.lit(0.0))
+        closed = F.when((F.col("bar_idx") % BLOCK == BLOCK - 1) & F.col(f"_{out}_local").isNotNull(), F.struct(
+            F.col(f"_{out}_local").alias("y"), at().alias("at"), F.col(f"_{x}_from").alias("first"),
+            F.col(f"_{out}_excess").alias("e")))
+        return F.collect_list(closed).over(history().rowsBetween(Window.unboundedPreceding, -1))
+
+    def onto(y: Column, before: Column, local: Column, at: Column, first: Column, e: Column) -> Column:
+        """A block's result with what came before it, which stands at ``before``."""
+        return local + y * F.exp((at - before) * log_b + e + excess_of(first - before))
 
     def value() -> Column:
-        since_block = F.col("bar_idx") % BLOCK + 1
-        since_seed = F.col("bar_idx") - F.col(f"_{x}_first_at") + 1
-        y = (F.col(f"_{out}_local")
-             + F.col(f"_{out}_carry") * F.pow(F.lit(b), since_block)
-             + F.col(f"_{x}_first") * F.pow(F.lit(b), since_seed))
+        own = F.col(f"_{out}_local")
+        blocks = F.col(f"_{out}_carry")
+        past = F.aggregate(
+            F.slice(blocks, 2, BLOCK), F.struct(blocks[0].y.alias("y"), blocks[0]["at"].alias("at")),
+            lambda acc, k: F.struct(onto(acc.y, acc["at"], k.y, k["at"], k["first"], k.e).alias("y"), k["at"].alias("at")))
+        joined = onto(past.y, past["at"], own, at(), F.col(f"_{x}_from"), F.col(f"_{out}_excess"))
+        y = F.when(F.size(blocks) == 0, own).otherwise(F.when(own.isNull(), past.y).otherwise(joined))
         return F.when(F.col(f"_{x}_seen") >= min_periods, y)
 
+    inputs = (x, f"_{x}_prev")
     return {
         f"_{x}_seen": Step((x,), lambda: F.count(x).over(so_far())),
-        f"_{x}_first": Step((x,), lambda: F.first(x, ignorenulls=True).over(so_far())),
-        f"_{x}_first_at": Step((x,), lambda: F.min(
-            F.when(F.col(x).isNotNull(), F.col("bar_idx"))).over(so_far())),
-        f"_{out}_local": Step((x,), local),
-        f"_{out}_carry": Step((f"_{out}_local",), carried),
-        out: Step((f"_{out}_local", f"_{out}_carry", f"_{x}_seen", f"_{x}_first",
-                   f"_{x}_first_at"), value),
+        f"_{x}_prev": Step((x,), lambda: F.last(
+            F.when(F.col(x).isNotNull(), F.col("bar_idx")), ignorenulls=True).over(
+            history().rowsBetween(Window.unboundedPreceding, -1))),
+        f"_{x}_from": Step((x,), lambda: F.min(
+            F.when(F.col(x).isNotNull(), F.col("bar_idx"))).over(block)),
+        f"_{out}_excess": Step(inputs, excess),
+        f"_{out}_local": Step((*inputs, f"_{out}_excess"), local),
+        f"_{out}_carry": Step((*inputs, f"_{out}_local", f"_{out}_excess", f"_{x}_from"), carried),
+        out: Step((*inputs, f"_{out}_local", f"_{out}_carry", f"_{out}_excess", f"_{x}_seen", f"_{x}_from"), value),
     }

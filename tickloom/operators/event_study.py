@@ -25,6 +25,9 @@ COOLDOWN = 20
 COST_PCT = 0.30
 MIN_EVENTS = 30
 GRID_HORIZON = 20
+#: Modulus and multipliers of the drawn numbers.
+PRIME = 2**31 - 1
+MIX = (716_243_921, 391_875_437, 904_117_603)
 
 
 def forward_steps(horizons: Sequence[int] = HORIZONS) -> dict[str, Step]:
@@ -149,13 +152,22 @@ def horizon_stats(rows: DataFrame, keys=("screen_id", "horizon"),
                         *[F.when(enough, F.col(c)).alias(c) for c in shown])
 
 
+def draw_of(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
+    """A number below n: (seed, replicate, slot) mixed by squarings modulo a prime, all
+    within 63 bits, so another engine can state the same draws."""
+    h = F.pmod(F.lit(seed * MIX[0]) + replicate.cast("long") * MIX[1] + slot.cast("long") * MIX[2], F.lit(PRIME))
+    for m in MIX:
+        h = F.pmod(h * (h + m) + m, F.lit(PRIME))
+    return F.pmod(h, n).cast("int")
+
+
 def bootstrap(rows: DataFrame, keys=("screen_id", "horizon"), replicates: int = 1000,
               seed: int = 42) -> DataFrame:
     """5% and 95% bounds of the mean excess, resampling whole signal dates.
 
     Events of a date move together, so a date is the unit: the mean per date (at
     most one row per calendar day and group) is drawn with replacement. The
-    draws are a hash of (seed, replicate, draw number), the same on every run
+    draws follow from (seed, replicate, draw number), the same on every run
     and after every retry; they are spread over tasks by replicate."""
     keys = list(keys)
     by_date = settle(_complete(rows).groupBy(*keys, "signal_date")
@@ -166,7 +178,7 @@ def bootstrap(rows: DataFrame, keys=("screen_id", "horizon"), replicates: int =
     # every date slot k of every replicate draws one date
     draws = numbered.select(*keys, "k", "n", F.explode(F.sequence(
         F.lit(0), F.lit(replicates - 1))).alias("b")).select(
-        *keys, "b", F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.col("n")).cast("int").alias("k"))
+        *keys, "b", draw_of(seed, F.col("b"), F.col("k"), F.col("n")).alias("k"))
     means = (draws.join(numbered.select(*keys, "k", "x"), [*keys, "k"])
              .groupBy(*keys, "b").agg(F.avg("x").alias("mean")))
     return quantiles(means, keys, "mean", {"lo5": 0.05, "hi95": 0.95})

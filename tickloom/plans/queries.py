@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.asof import as_of_rows, asof_join, calendar, fill_calendar
+from ..functions.ewm import ewm_steps, span_alpha
 from ..functions.ranks import places
 from ..functions.steps import add_steps
-from ..functions.windows import number_bars
+from ..functions.windows import by_symbol, number_bars
 from ..operators import cohorts as co
 from ..operators import event_study as es
 from ..operators import evidence, performance, quality, sizing
@@ -734,6 +735,15 @@ def _panel_query(fields) -> Query:
         decimals_of(fields))
 
 
+def q_ema_gaps(spark, folder):
+    """Smoothings of a close that is missing on three days of each month."""
+    known = F.when(~F.dayofmonth("date").isin(3, 4, 17), F.col("close"))
+    bars = load_bars(spark, folder).select("symbol", "date", known.alias("close"))
+    book = ewm_steps("ema_10", "close", span_alpha(10), 10) | ewm_steps("ema_50", "close", span_alpha(50), 50)
+    return rounded(add_steps(number_bars(by_symbol(bars)), book, ["ema_10", "ema_50"])
+                   .select("symbol", "date", "ema_10", "ema_50"))
+
+
 def registered() -> dict[str, Query]:
     out: dict[str, Query] = {
         "flagship": q_flagship,
@@ -825,6 +835,7 @@ def registered() -> dict[str, Query]:
         "check_run_log": q_run_log,
         "check_report": q_report,
     }
+    out["indicator_ema_gaps"] = q_ema_gaps
     for name, fields in INDICATORS.items():
         out[f"indicator_{name}"] = _panel_query(fields)
     for name, condition in CONDITIONS.items():

@@ -1,7 +1,7 @@
 """SQL statements for the registered queries (see ``check_sql``)."""
 
 from ..operators.conditions import Condition
-from ..operators.event_study import variants
+from ..operators.event_study import MIX, PRIME, variants
 from . import queries as q
 from .catalogue import PRESETS
 from .check_sql import (BARS, W, WEEKLY_BARS, breadth_select, chain, combined, condition_fields,
@@ -357,6 +357,37 @@ def _horizon_stats_sql() -> str:
                            f"join tails using (screen_id, horizon) group by 1, 2")
 
 
+def _bootstrap_sql() -> str:
+    h = f"mod({42 * MIX[0]} + b*{MIX[1]} + k*{MIX[2]}, {PRIME})"
+    ctes = event_ctes(q.STUDY_SCREENS, q.GATE)
+    ctes += ["by_date as (select screen_id, horizon, signal_date, avg(excess_net) as x from ev_long "
+             "where excess_gross is not null and excess_net is not null group by 1, 2, 3)",
+             "numbered as materialized (select screen_id, horizon, x, row_number() over (partition by screen_id, "
+             "horizon order by signal_date) - 1 as k, count(*) over (partition by screen_id, horizon) as n from by_date)",
+             f"h0 as (select screen_id, horizon, n, b, {h} as h from numbered, range(1000) r(b))"]
+    for i, m in enumerate(MIX):
+        ctes.append(f"h{i + 1} as (select screen_id, horizon, n, b, mod(h*(h + {m}) + {m}, {PRIME}) as h from h{i})")
+    ctes.append(f"means as (select d.screen_id, d.horizon, b, avg(x) as mean from h{len(MIX)} d join numbered m on "
+                "m.screen_id = d.screen_id and m.horizon = d.horizon and m.k = mod(h, d.n) group by 1, 2, 3)")
+    return with_bars(ctes, "select screen_id, horizon, round(quantile_cont(mean, 0.05), 6) as lo5, "
+                           "round(quantile_cont(mean, 0.95), 6) as hi95 from means group by 1, 2")
+
+
+def _ema_gaps_sql() -> str:
+    cols = {k: 2 / (k + 1) for k in (10, 50)}
+    seed = ", ".join(f"x as y{k}" for k in cols)
+    step = ", ".join(f"case when g.x is null or w.y{k} is null then coalesce(w.y{k}, g.x) else (power({1 - a}, w.gap)*w.y{k} "
+                     f"+ {a}*g.x) / (power({1 - a}, w.gap) + {a}) end" for k, a in cols.items())
+    shown = ", ".join(f"case when count(g.x) over (partition by g.symbol order by g.i) >= {k} then round(w.y{k}, 6) end "
+                      f"as ema_{k}" for k in cols)
+    return with_bars([
+        "gaps as materialized (select symbol, date, case when day(date) not in (3, 4, 17) then close end as x, "
+        "row_number() over (partition by symbol order by date) - 1 as i from bars)",
+        f"walk as (select symbol as s, i as at, 1 as gap, {seed} from gaps where i = 0 union all select g.symbol, g.i, "
+        f"case when g.x is null then w.gap + 1 else 1 end, {step} from walk w join gaps g on g.symbol = w.s and g.i = w.at + 1)"],
+        f"select g.symbol, g.date, {shown} from gaps g join walk w on w.s = g.symbol and w.at = g.i")
+
+
 def _sensitivity_sql() -> str:
     screens = variants(q.GRID_SCREEN)
     ctes = event_ctes(screens, 0.0, horizons=(20,))
@@ -756,6 +787,8 @@ def statements() -> dict[str, str]:
                                 for m in ("gross", "net", "baseline", "excess_gross", "excess_net")
                                 for h in HORIZONS) + " from ev_long group by 1, 2, 3"),
         "horizon_stats": _horizon_stats_sql(),
+        "bootstrap_interval": _bootstrap_sql(),
+        "indicator_ema_gaps": _ema_gaps_sql(),
         "event_timeline": with_bars(event_ctes(q.STUDY_SCREENS, q.GATE),
                                     "select screen_id, strftime(signal_date, '%Y-%m') as month, "
                                     "count(*) as n_events from ev_long where horizon = 5 group by 1, 2"),
