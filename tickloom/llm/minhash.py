@@ -6,7 +6,8 @@ a band, classes are compared with the bucket's first one; what that joins is not
 compared again. Buckets that still hold several groups go on with the next four pivots,
 then sixteen, then the rest, until no two groups of a bucket are uncompared: no pairs
 within a joined group are made, and none between groups is left out. Two classes meet
-in several bands; they are paired in the first two that they seem to share by 16 bits of each.
+in several bands; they are paired in the first that they share by 32 bits of each, and only if
+their whole signatures differ no more than those of sets at the threshold may.
 """
 
 import numpy as np
@@ -26,7 +27,10 @@ ROUNDS = ((1, 4), (5, 20), (21, 1 << 40))
 NARROW = 8
 #: Ids that may be broadcast to pick documents: 16 MB at most.
 PICK = 1_000_000
-SKETCH = "id long, n long, set_a long, set_b long, bands binary"
+#: Standard deviations by which signatures may differ more than the similarity lets expect:
+#: two sets with similarity 0.8 are beyond it less than once in 20 million times.
+SLACK = 6.5
+SKETCH = "id long, n long, set_a long, set_b long, bands binary, code binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +65,19 @@ def signatures(grams: np.ndarray, at: np.ndarray, permutations: int) -> np.ndarr
     return out
 
 
+def codes(values: np.ndarray) -> np.ndarray:
+    """Two bits of each signature value, as one plane of whole longs for each bit."""
+    padded = np.zeros((len(values), -(-values.shape[1] // 64) * 64), U64)
+    padded[:, :values.shape[1]] = values
+    return np.concatenate([np.packbits((padded >> U64(bit) & U64(1)).astype(np.uint8), axis=1) for bit in (0, 1)], axis=1)
+
+
+def differing(values: int) -> str:
+    """SQL: how many of the values have unlike bits in ``code`` and ``ac``."""
+    longs = -(-values // 64)
+    return " + ".join(f"bit_count((code[{i}] ^ ac[{i}]) | (code[{longs + i}] ^ ac[{longs + i}]))" for i in range(longs))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -71,7 +88,7 @@ def _sketch(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            n, set_a, set_b, keys = [], [], [], []
+            n, set_a, set_b, keys, planes = [], [], [], [], []
             for a, b in slices(offsets, 1 << 18):
                 grams, at = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
                 some = np.diff(at) > 0
@@ -80,19 +97,23 @@ def _sketch(size: int, bands: int, rows: int):
                 set_a.append(np.diff(sums[0][at]))
                 set_b.append(np.diff(sums[1][at]))
                 key = np.zeros((b - a, bands), U64)
+                code = np.zeros((b - a, 16 * -(-bands * rows // 64)), np.uint8)
                 if some.any():
                     values = signatures(grams, at[:-1][some], permutations)[:, :bands * rows]
                     # a band takes its values from different permutations
                     values = mix(values.reshape(-1, bands, rows))
+                    code[some] = codes(values.reshape(-1, bands * rows))
                     key[some] = mix(values.sum(axis=2, dtype=U64) + np.arange(bands, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
                 keys.append(key)
+                planes.append(code)
             if not n:
                 continue
-            whole = np.concatenate(keys)
+            whole, code = np.concatenate(keys), np.concatenate(planes)
             yield pa.record_batch({
                 "id": batch.column("id"), "n": np.concatenate(n), "set_a": _signed(np.concatenate(set_a)),
                 "set_b": _signed(np.concatenate(set_b)),
-                "bands": binaries(whole.reshape(-1).view(np.uint8), np.arange(len(whole) + 1) * 8 * bands)})
+                "bands": binaries(whole.reshape(-1).view(np.uint8), np.arange(len(whole) + 1) * 8 * bands),
+                "code": binaries(code.reshape(-1), np.arange(len(code) + 1) * code.shape[1])})
     return run
 
 
@@ -108,11 +129,15 @@ def _band_rows(bands: int):
 
 
 def _digest_rows(batches):
-    """16 bits of each band, to tell which bands two classes may share."""
+    """32 bits of each band, to tell which bands two classes share, and the code as longs."""
     for batch in batches:
         data, offsets = flat(batch.column("bands"))
-        yield pa.record_batch({"id": batch.column("id"), "digests": pa.ListArray.from_arrays(
-            pa.array(offsets // 8, pa.int32()), pa.array((data.view(np.int64) >> 48).astype(np.int16)))})
+        code, at = flat(batch.column("code"))
+        yield pa.record_batch({
+            "id": batch.column("id"),
+            "digests": pa.ListArray.from_arrays(pa.array(offsets // 8, pa.int32()),
+                                                pa.array((data.view(np.int64) >> 32).astype(np.int32))),
+            "code": pa.ListArray.from_arrays(pa.array(at // 8, pa.int32()), pa.array(code.view(np.int64)))})
 
 
 def _set_rows(size: int):
@@ -202,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sketch = settle(docs.mapInArrow(_sketch(size, bands, rows), SKETCH))
     some = sketch.where("n > 0 and id is not null")
-    first = some.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands")).alias("one"))
+    first = some.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands", "code")).alias("one"))
     classes = settle(first.select("set_a", "set_b", "one.*"))
     banded = classes.select("id", "n", "bands").mapInArrow(_band_rows(bands), "bucket long, band long, id long, n long")
     pivots = (banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("held"))
@@ -223,10 +248,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     inner = (crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
              .withColumn("rank", rank))
     open_ = settle_narrow(inner)
-    digests = settle_narrow(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands").mapInArrow(
-        _digest_rows, "id long, digests array<short>"))
+    digests = settle_narrow(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands", "code").mapInArrow(
+        _digest_rows, "id long, digests array<int>, code array<long>"))
     last = open_.agg(F.max("rank")).first()[0] or 0
-    new = F.expr(f"size(filter(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])) < 2")
+    new = F.expr(f"not exists(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])")
+    # two bits differ in three quarters of the values that do
+    unlike = 0.75 * (1 - percent / 100)
+    most = int(bands * rows * unlike + SLACK * (bands * rows * unlike * (1 - unlike)) ** 0.5)
+    alike = F.expr(f"{differing(bands * rows)} <= {most}")
     for low, high in ROUNDS:
         if low >= last:
             break
@@ -237,8 +266,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         rest = now.join(seen, "bucket").where(f"rank > {low} and (label <> low or label <> high)").drop("low", "high")
         pivot = first.join(digests, "id").select(
             "bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"),
-            F.col("label").alias("al"), F.col("digests").alias("ad"))
-        pairs = (rest.join(digests, "id").join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(new)
+            F.col("label").alias("al"), F.col("digests").alias("ad"), F.col("code").alias("ac"))
+        pairs = (rest.join(digests, "id").join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(alike).where(new)
                  .select("a", F.col("id").alias("b")).distinct())
         pairs = settle_narrow(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
