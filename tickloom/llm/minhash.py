@@ -7,7 +7,8 @@ compared again. Buckets that still hold several groups go on with the next four
 then sixteen, then the rest, until no two groups of a bucket are uncompared: no pairs
 within a joined group are made, and none between groups is left out. Two classes meet
 in several bands; they are paired in the first that they share by 32 bits of each, and only if
-their whole signatures differ no more than those of sets at the threshold may.
+their whole signatures differ no more than those of sets at the threshold may. A pair whose
+sets' parities differ in more bits than its sets may in shingles is surely no link, and left out.
 """
 
 import numpy as np
@@ -30,6 +31,8 @@ PICK = 1_000_000
 #: Standard deviations by which signatures may differ more than the similarity lets expect:
 #: two sets with similarity 0.8 are beyond it less than once in 20 million times.
 SLACK = 6.5
+#: Longs of the parities of a set's shingles, each shingle falling on one bit.
+PARITY = 16
 SKETCH = "id long, n long, set_a long, set_b long, bands binary, code binary"
 
 
@@ -72,6 +75,19 @@ def codes(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits((padded >> U64(bit) & U64(1)).astype(np.uint8), axis=1) for bit in (0, 1)], axis=1)
 
 
+def parities(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an odd number of each set's shingles falls on each bit; sets aren't empty."""
+    place = grams % U64(64 * PARITY)
+    bit, long = U64(1) << (place & U64(63)), place >> U64(6)
+    return np.stack([np.bitwise_xor.reduceat(np.where(long == U64(i), bit, U64(0)), at) for i in range(PARITY)], axis=1)
+
+
+def odd(values: int) -> str:
+    """SQL: how many of the parities differ; no more than shingles that one set alone has."""
+    first = 2 * -(-values // 64)
+    return " + ".join(f"bit_count(code[{i}] ^ ac[{i}])" for i in range(first, first + PARITY))
+
+
 def differing(values: int) -> str:
     """SQL: how many of the values have unlike bits in ``code`` and ``ac``."""
     longs = -(-values // 64)
@@ -97,12 +113,13 @@ def _sketch(size: int, bands: int, rows: int):
                 set_a.append(np.diff(sums[0][at]))
                 set_b.append(np.diff(sums[1][at]))
                 key = np.zeros((b - a, bands), U64)
-                code = np.zeros((b - a, 16 * -(-bands * rows // 64)), np.uint8)
+                code = np.zeros((b - a, 16 * -(-bands * rows // 64) + 8 * PARITY), np.uint8)
                 if some.any():
                     values = signatures(grams, at[:-1][some], permutations)[:, :bands * rows]
                     # a band takes its values from different permutations
                     values = mix(values.reshape(-1, bands, rows))
-                    code[some] = codes(values.reshape(-1, bands * rows))
+                    code[some] = np.concatenate([codes(values.reshape(-1, bands * rows)),
+                                                 parities(grams, at[:-1][some]).view(np.uint8)], axis=1)
                     key[some] = mix(values.sum(axis=2, dtype=U64) + np.arange(bands, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
                 keys.append(key)
                 planes.append(code)
@@ -255,7 +272,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # two bits differ in three quarters of the values that do
     unlike = 0.75 * (1 - percent / 100)
     most = int(bands * rows * unlike + SLACK * (bands * rows * unlike * (1 - unlike)) ** 0.5)
-    alike = F.expr(f"{differing(bands * rows)} <= {most}")
+    alike = F.expr(f"{100 + percent} * ({odd(bands * rows)}) <= {100 - percent} * (n + an) "
+                   f"and {differing(bands * rows)} <= {most}")
     for low, high in ROUNDS:
         if low >= last:
             break
