@@ -9,7 +9,7 @@ from brute import brute3, brute5, brute10
 from conftest import prose
 
 from tickloom.llm import licences, mixing, quality, warc
-from tickloom.llm.minhash import near_duplicates
+from tickloom.llm.minhash import codes, near_duplicates, parities
 from tickloom.llm.postings import contamination, proximity_matches
 from tickloom.llm.rollups import PATTERN, VOCABULARY, Rollups, changes, count_tokens
 from tickloom.llm.url_trees import filter_urls
@@ -167,6 +167,20 @@ def test_rollups(spark, docs, rows):
     assert Rollups(spark, store.folder).committed().keys() == {"all"}
 
 
+def test_parities_and_codes_bound_differences():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for size in (1, 40, 900, 3000):
+        x, y = (np.unique(rng.choice(pool, size)) for _ in range(2))
+        p = parities(np.r_[x, y], np.array([0, len(x)]))
+        assert np.bitwise_count(p[0] ^ p[1]).sum() <= len(np.setxor1d(x, y))
+        assert not (parities(x, np.array([0])) ^ p[0]).any()
+    values = rng.integers(0, 1 << 63, (2, 200), dtype=np.uint64)
+    a, b = codes(values).view(np.uint64)
+    unlike = np.bitwise_count((a[:4] ^ b[:4]) | (a[4:] ^ b[4:])).sum()
+    assert unlike == ((values[0] & np.uint64(3)) != (values[1] & np.uint64(3))).sum()
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_against_brute_force(spark, docs, rows, none, size):
     chain = [" ".join(f"w{j}" for j in range(i * 3, i * 3 + 60)) for i in range(12)]
