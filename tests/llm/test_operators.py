@@ -96,6 +96,35 @@ def test_mixture_meets_targets(docs, rows):
     assert drawn.groupby("shard").size().max() - drawn.groupby("shard").size().min() <= 2
 
 
+@pytest.mark.parametrize("block", [16, 500])
+def test_mixture_deals_documents_to_shards(docs, rows, block, monkeypatch):
+    odd = docs.select("doc_id", "text", "source").union(docs.sparkSession.createDataFrame(
+        [(None, prose(70, 90), "s1"), (None, prose(71, 40), "s1"), (1, prose(72, 70), "s2"), (900, "a b c", "tiny")],
+        "doc_id long, text string, source string"))
+    documents, draws, pieces = mixing.mix(odd, block=block, shards=4, carry=("text",))
+    got, drawn, held = documents.toPandas(), draws.toPandas(), pieces.toPandas()
+    assert sorted(got.text.fillna("")) == sorted((r.text or "") for r in odd.collect())
+    for _, x in drawn.groupby("shard"):
+        assert sorted(x.position) == list(range(len(x)))
+    assert any(drawn.stop > drawn.source_size), "some source goes round again"
+    # every word of every block, found again by walking the source's order
+    orders = {s: [d for d in x.sort_values("begin").itertuples() if d.size] for s, x in got.assign(source=got.source.fillna("")).groupby("source")}
+    want, taken = [], collections.Counter()
+    for b in drawn.itertuples():
+        order = [(d, w) for d in orders[b.source or ""] for w in range(d.size)]
+        for w in range(b.begin, b.stop):
+            d, at = order[w % len(order)]
+            want.append((b.shard, b.position, w - b.begin, None if np.isnan(d.doc_id) else d.doc_id, at))
+            taken[b.source or "", d.begin] += 1
+    have = [(p.shard, p.position, p.place + w - p.begin, None if np.isnan(p.doc_id) else p.doc_id, w)
+            for p in held.itertuples() for w in range(p.begin, p.stop)]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    assert all(d.taken == (taken[d.source, d.begin] if d.size else 0) for d in got.assign(source=got.source.fillna("")).itertuples())
+    # without the tree's blocks nothing is taken
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: np.zeros((shards, len(quotas)), np.int64))
+    assert mixing.mix(odd, block=block, shards=4)[0].where("taken > 0").count() == 0
+
+
 def test_targets_stop_at_three_times_the_size():
     got = mixing.targets({"a": 10, "b": 100, None: 890})
     assert got["a"] == 30 and got["b"] == 300 and abs(got[None] - 670) < 1e-9

@@ -7,7 +7,7 @@ from ..session import settle
 from . import licences, quality, warc
 from .fm_dedup import dedup_passages
 from .minhash import near_duplicates
-from .mixing import mixture
+from .mixing import mix
 from .postings import contamination
 from .rollups import Rollups, changes, count_tokens
 from .suffix_dedup import dedup_substrings
@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    documents, _ = mixture(table(spark, folder, "documents"))
+    documents, _, _ = mix(table(spark, folder, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
