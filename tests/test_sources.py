@@ -40,6 +40,21 @@ def test_adjustment_factor(spark, subject, want):
     assert df.select(src.adjustment_factor("s").alias("f")).first().f == want
 
 
+@pytest.mark.parametrize("subject,want", [
+    ("Face Value Split(From Rs 10/- Per Share To Rs 2/- Per Share)", 0.2),
+    ("Face Value Split (Sub-Division)-From Rs 10/- Per Share To Rs 2/- Per Share", 0.2),
+    ("Change from 1 April: Split From Rs 10/- Per Share To Rs 2/- Per Share", 0.2),
+    ("From Rs 10/- Per Share To Rs 2/- Per Share, then From Rs 2 Per Share To Re 1 Per Share", 0.2),
+    ("Bonus Issue - Bonus 1:1", 0.5), ("Dividend/Bonus 3 : 1)", 0.25), ("(Bonus 1:4), Bonus 1:1", 0.8),
+    ("Split from 5 per share to 2 per share", None), ("From Rs 5 Per Share To 2 Per Share", None),
+    ("From #5 Per Share To #2 Per Share", None), ("From Rs 10. Per Share To Rs 2 Per Share", None),
+    ("From Rs 0 Per Share To Rs 2 Per Share / Bonus 1:1", None), ("Nobonus 1:1", None), ("Bonus 0:0", None),
+    ("Bonus Issue 1:1", None), ("from", None), ("bonus", None), ("", None), (None, None)])
+def test_adjustment_factor_wherever_it_is_stated(spark, subject, want):
+    df = spark.createDataFrame([(subject,)], "s string")
+    assert df.select(src.adjustment_factor("s").alias("f")).first().f == want
+
+
 def test_adjustments_compound(spark, to_bars, tmp_path):
     rows = [{"symbol": "ABC", "exDate": d, "subject": s, "series": "EQ"} for d, s in
             (("01-Mar-2024", "Bonus 1:1"), ("03-Jun-2024", "Bonus 3:1"), ("-", "Bonus 1:1"),
