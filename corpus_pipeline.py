@@ -1,7 +1,9 @@
 """Documents to a training mix: quality, near duplicates, repeated passages, benchmarks, mixing.
 
 Each stage reads what the one before wrote and returns the columns of documents, the last one
-also the words that the mix takes of each document.
+also the words that the mix takes of each document. Stages judge rows, not ids: rows that share
+an id go or stay each by its own text, and so do rows with a null id, save that these take no
+part in near-dedup and all stay there.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import quality
 from tickloom.llm.minhash import near_duplicates
-from tickloom.llm.mixing import mixture
+from tickloom.llm.mixing import mix
 from tickloom.llm.postings import bounded, contamination
 from tickloom.llm.queries import table
 from tickloom.llm.suffix_dedup import dedup_substrings
@@ -23,9 +25,16 @@ PASSAGE, PASSAGE_ANCHOR = 100, 24
 DROP = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id isn't among ``ids``."""
-    return docs.join(bounded(settle(ids.select("doc_id").distinct()), DROP), "doc_id", "left_anti")
+#: Tells the rows of an id apart; rows equal in id and text are alike.
+HASH = F.xxhash64("text")
+
+
+def without(docs: DataFrame, gone: DataFrame, by=("doc_id", "hash")) -> DataFrame:
+    """Documents without those that equal a row of ``gone`` in doc_id (null equals null) and,
+    where that is told, in the hash of the text."""
+    gone = bounded(settle(gone.select(*(F.col(c).alias(f"gone_{c}") for c in by)).distinct()), DROP)
+    same = " and ".join(f"{c} <=> gone_{c}" for c in by)
+    return docs.withColumn("hash", HASH).join(gone, F.expr(same), "left_anti").drop("hash")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -35,8 +44,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The smallest document of each group of near duplicates (five words, 0.8)."""
-    return without(docs, near_duplicates(docs).where("not kept")).select(*COLUMNS)
+    """The smallest document of each group of near duplicates (five words, 0.8).
+
+    Different texts under one id are documents of their own, in the order of their hashes;
+    equal ones stay or go together. Rows with a null id stay."""
+    docs = docs.select(*COLUMNS)
+    texts = settle(docs.where("doc_id is not null").select("doc_id", HASH.alias("hash")).distinct())
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return without(docs, near_duplicates(docs).where("not kept"), by=("doc_id",))
+    # numbers in the order of ids and hashes
+    keys = settle(texts.orderBy("doc_id", "hash").withColumn("key", F.monotonically_increasing_id()))
+    keyed = docs.withColumn("hash", HASH).join(keys, ["doc_id", "hash"])
+    copies = near_duplicates(keyed, key="key").where("not kept").select(F.col("doc_id").alias("key"))
+    return without(docs, keys.join(copies.distinct(), "key"))
 
 
 def new_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -49,16 +69,17 @@ def new_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    found = contamination(docs, table(spark, folder, "benchmark"))
-    return without(docs, found.where("n_hit > 0")).select(*COLUMNS)
+    """Documents without any passage of the benchmark, each row judged by its own text."""
+    rows = docs.withColumn("row", F.struct("doc_id", HASH.alias("hash")))
+    found = contamination(rows, table(spark, folder, "benchmark"), key="row")
+    return without(docs, found.where("n_hit > 0").select("row.doc_id", "row.hash")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the mix takes, with their words, their source's target and the words taken."""
-    taken, _ = mixture(docs)
-    chosen = taken.where("taken > 0").select("doc_id", "size", "target", "taken").dropDuplicates(["doc_id"])
-    return docs.select(*COLUMNS).join(chosen, "doc_id")
+    """Documents that the mix takes, with their words, their source's target and the words taken
+    of each row."""
+    documents, _, _ = mix(docs, carry=("text", "lang", "n_chars"))
+    return documents.where("taken > 0").select(*COLUMNS, "size", "target", "taken")
 
 
 STAGES = [("quality rules", good_quality), ("minhash near-dedup", one_of_near_duplicates),

@@ -232,3 +232,53 @@ def test_pipeline_stages(spark, docs, rows):
     assert kept == {d for d, *_, k in brute10(rows, 5) if k}
     texts = {r.doc_id: r.text for r in p.new_passages(spark, some, folder).collect()}
     assert 1 not in texts and texts[0] == rows[0][1] and rows[3][1].split("\n")[0] not in texts[4]
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    import corpus_pipeline as p
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    clean = [prose(400 + i, 80) for i in range(12)]
+    leak, near = prose(500, 60), prose(501, 120)
+    # id 1 holds a clean text, a near copy and a leak; id 2 repeats a row; three rows have no id
+    rows = [(1, clean[0]), (1, near + " tail"), (1, clean[1] + " " + leak), (0, near), (2, clean[2]), (2, clean[2]),
+            (3, clean[3]), (3, clean[4]), (None, clean[5]), (None, clean[6]), (None, clean[7] + " " + leak),
+            (4, clean[8]), (5, clean[9] + "\n" + clean[3]), (6, "| | |"), (None, "| | |"), (7, None), (1, "| | |")]
+    rows = [(d, t, "en", f"s{i % 2}", i) for i, (d, t) in enumerate(rows)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, shape).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda x: spark.createDataFrame(x, shape).repartition(3)
+    result = lambda stage, x: sorted(map(tuple, stage(spark, frame(x), str(tmp_path)).select(*p.COLUMNS).collect()), key=str)
+    failed = [r[6] for r in sorted(brute5([(i, r[1]) for i, r in enumerate(rows)]))]
+    good = [r for r, bad in zip(rows, failed, strict=True) if not bad]
+    assert len(good) < len(rows) and result(p.good_quality, rows) == sorted(good, key=str)
+    # near duplicates: rows by id and then anyhow, as no other texts are alike
+    with_id = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    texts = list(dict.fromkeys(r[:2] for r in with_id))
+    kept = {texts[d] for d, *_, k in brute10(list(enumerate(t for _, t in texts)), 5) if k}
+    few = [r for r in rows if r[0] is None or r[:2] in kept or r[1] == "| | |"]
+    got = result(p.one_of_near_duplicates, rows)
+    assert [r for r in got if r[1] != "| | |"] == sorted((r for r in few if r[1] != "| | |"), key=str)
+    assert sum(r[1] == "| | |" for r in got) == 2 and (1, near + " tail") not in {r[:2] for r in got} and (1, clean[0]) in {r[:2] for r in got}
+    # passages: all that a row of a smaller id holds goes, no row else
+    less = [(*r[:1], clean[9] + "\n", *r[2:4], len(clean[9]) + 1) if r[0] == 5 else r for r in rows]
+    apart = [r for r in less if leak not in (r[1] or "") and near not in (r[1] or "")]
+    got = result(p.new_passages, [r for r in rows if leak not in (r[1] or "") and near not in (r[1] or "")])
+    assert [r[:4] for r in got] == sorted(((*r[:1], r[1] or "", *r[2:4]) for r in apart), key=str)
+    assert result(p.without_benchmarks, rows) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    # mixing: each row once, with sums that meet the targets
+    mixed = p.mixed(spark, frame(good), str(tmp_path))
+    assert mixed.columns == [*p.COLUMNS, "size", "target", "taken"]
+    taken = mixed.toPandas()
+    assert not taken.n_chars.duplicated().any() and taken["size"].tolist() == [words(t) for t in taken.text] and taken.doc_id.isna().any()
+    for _, x in taken.groupby("source"):
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 1
+    # the whole of it
+    done = p.run(spark, str(tmp_path)).toPandas()
+    left = {r.text for r in done.itertuples()}
+    assert left <= {*clean, near, clean[9] + "\n"} and done.doc_id.isna().any()
+    assert not done[["doc_id", "text"]].query("doc_id != 2").duplicated().any()
+    assert (done["size"] == [words(t) for t in done.text]).all() and (done.taken <= 3 * done["size"]).all()
+    for _, x in done.groupby("source"):
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 1
