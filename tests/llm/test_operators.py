@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from brute import brute3, brute5, brute10
 from conftest import prose
+from pyspark.sql import functions as F
 
 from tickloom.llm import licences, mixing, quality, warc
 from tickloom.llm.minhash import codes, near_duplicates, parities
 from tickloom.llm.postings import contamination, proximity_matches
 from tickloom.llm.rollups import PATTERN, VOCABULARY, Rollups, changes, count_tokens
-from tickloom.llm.url_trees import filter_urls
+from tickloom.llm.url_trees import filter_urls, train
 
 
 def test_contamination_against_brute_force(spark, docs, rows, none):
@@ -54,6 +55,14 @@ def test_urls(spark):
     assert filter_urls(pages.where("1 = 0")).count() == 0
 
 
+def test_copies_of_a_url_do_not_fill_the_sample(spark):
+    urls = [(f"http://h{i}.com/a{i}", f"h{i}.com", f"/a{i}", "block" if i % 2 else "allow") for i in range(40)]
+    shape = "url string, host string, path string, verdict string"
+    first = spark.createDataFrame(urls, shape).orderBy(F.xxhash64("url")).first()
+    model = train(spark.createDataFrame(urls + [tuple(first)] * 100, shape), trees=1, depth=1, sample_rows=30)
+    assert not isinstance(model, str)
+
+
 def test_quality_base_and_training(spark, docs, rows, none):
     good = [(100 + i, prose(i, 60)) for i in range(60)]
     bad = [(200 + i, " | ".join(prose(i, 60).upper().split())) for i in range(60)]

@@ -74,8 +74,9 @@ def lexical(frame: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, sample_rows: int = SAMPLE_ROWS):
-    """The model, or the only verdict, from (url, host, path, verdict)."""
-    chosen = settle(lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows))
+    """The model, or the only verdict, from (url, host, path, verdict). Each url counts once,
+    so that copies of one don't fill the sample."""
+    chosen = settle(lexical(labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample_rows))
                     .withColumn("label", (F.col("verdict") == "block").cast("double")))
     whole = chosen.agg(F.count("*").alias("n"), F.avg("label").alias("blocked")).first()
     if not whole["n"] or whole["blocked"] in (0.0, 1.0):
@@ -96,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, key:
     rule's, else the trees') and score (the trees' probability of block).
 
     A null url, or one without ``://``, has an empty host and path, so no rule fits and the
-    trees judge it. Repeated urls count each as a row. Without labelled rows the verdict is
+    trees judge it. Repeated urls have each a row, and count once in the fit. Without labelled rows the verdict is
     allow; if all have one verdict, it is that. Other columns are not read."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
     host, path = parts(F.col("url"))
