@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 from brute import brute3, brute5, brute10
-from conftest import prose
+from texts import prose
 from pyspark.sql import functions as F
 
 from tickloom.llm import licences, mixing, quality, warc
