@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame, walk
+from bars import frame, walk
 from pyspark.sql import functions as F
 
 from tickloom.operators import cohorts as co

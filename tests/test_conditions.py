@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame
+from bars import frame
 from pyspark.sql import functions as F
 
 from tickloom.functions.steps import add_steps

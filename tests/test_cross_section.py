@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame
+from bars import frame
 
 from tickloom.functions.asof import as_of_rows, asof_join, calendar
 from tickloom.functions.ranks import counted_values, percentile_rank, quantiles

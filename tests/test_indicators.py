@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame, walk
+from bars import frame, walk
 
 from tickloom.functions.ewm import ewm_steps
 from tickloom.functions.steps import add_steps

@@ -217,13 +217,14 @@ def chain(source: str, prefix: str, fields: dict, wanted: Iterable[str], min_bar
 
 def _levels(p: str, now: str) -> list[str]:
     return [
-        f"{now}_piv as (select symbol, i as j, high as price from {p} where pivot_high "
-        f"union all select symbol, i, low from {p} where pivot_low)",
-        f"{now}_near as (select b.symbol, b.i, b.close, v.price, lag(v.price) over "
-        f"(partition by b.symbol, b.i order by v.price) as before from {p} b join {now}_piv v "
+        f"{now}_piv as (select symbol, i as j, 0 as kind, high as price from {p} where pivot_high "
+        f"union all select symbol, i, 1, low from {p} where pivot_low)",
+        # equal prices are common: both windows need the same total order
+        f"{now}_near as (select b.symbol, b.i, b.close, v.price, v.j, v.kind, lag(v.price) over "
+        f"(partition by b.symbol, b.i order by v.price, v.j, v.kind) as before from {p} b join {now}_piv v "
         f"on v.symbol = b.symbol and v.j between b.i - 245 and b.i - 5)",
         f"{now}_isl as (select *, sum(case when before is null or 100*(price-before)/before > 1 "
-        f"then 1 else 0 end) over (partition by symbol, i order by price "
+        f"then 1 else 0 end) over (partition by symbol, i order by price, j, kind "
         f"rows unbounded preceding) as isl from {now}_near)",
         f"{now}_lev as materialized (select symbol, i, isl, any_value(close) as close, "
         f"sum(price::decimal(18, 6))::double / count(*) as level, count(*) as touches from {now}_isl group by symbol, i, isl "
