@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import licences, quality, warc
+from . import licences, quality, warc, whitening
+from .alignment import alignments, weighed
 from .fm_dedup import dedup_passages
 from .minhash import near_duplicates
 from .mixing import mix
 from .postings import contamination
 from .rollups import Rollups, changes, count_tokens
+from .secrets import find_secrets
 from .suffix_dedup import dedup_substrings
 from .url_trees import filter_urls
 
@@ -88,6 +90,33 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=2)
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups are long texts, so their digests are taken before the pairs' counts are known."""
+    found = alignments(table(spark, folder, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return weighed(found.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind != "random")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(base), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, size = whitening.vectors(table(spark, folder, "embeddings"))
+    fit = whitening.fit(rows, size)
+    found = whitening.whiten(rows, fit)
+    explained = F.array(*[F.lit(float(x)) for x in fit.explained]).cast("array<double>")
+    return found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(whitening.identity_error(found)).alias("identity_error"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -95,5 +124,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_fm_dedup, op3_postings, op4_url_trees, op5_quality, op6_mixing,
-    op7_licences, op8_warc, op9_rollups, op10_minhash, pipeline)}
+    op7_licences, op8_warc, op9_rollups, op10_minhash, op11_alignment, op12_secrets, op13_whitening, pipeline)}
 SQL: dict[str, str] = {}
