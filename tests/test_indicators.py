@@ -4,10 +4,14 @@ import pytest
 from bars import frame, walk
 
 from tickloom.functions.ewm import ewm_steps
-from tickloom.functions.steps import add_steps
+from tickloom.functions.rolling import mean_steps
+from tickloom.functions.steps import add_steps, reach
 from tickloom.functions.windows import number_bars
-from tickloom.operators.indicators import (panel, stochastic_steps, weekly_bars, weekly_panel)
-from tickloom.schema import DAILY_FIELDS
+from tickloom.operators import conditions as c
+from tickloom.operators.indicators import (daily_book, panel, stochastic_steps, weekly_bars,
+                                           weekly_panel)
+from tickloom.operators.levels import level_steps
+from tickloom.schema import DAILY_FIELDS, OHLCV
 
 
 def smooth(s, alpha, n):
@@ -66,8 +70,37 @@ def test_smoothing_over_several_blocks(spark, to_bars):
         want = smooth(got.close, alpha, n)
         np.testing.assert_allclose(got.y.dropna(), want.dropna(), rtol=1e-12)
         assert got.y.isna().sum() == n - 1
-    with pytest.raises(ValueError):
-        ewm_steps("y", "close", 0.9, 2)
+    for alpha in (0.0, 1.1):
+        with pytest.raises(ValueError):
+            ewm_steps("y", "close", alpha, 2)
+
+
+def test_any_width_and_any_smoothing_factor(to_bars, spark):
+    bars = walk("ANY", 400, 7)
+    gaps = bars.assign(close=bars.close.where(np.arange(400) % 7 > 1))
+    gaps.loc[100:330, "close"] = np.nan
+    for data in (bars, gaps.astype({"close": object}).where(gaps.notna(), None)):
+        frame_ = number_bars(to_bars(data))
+        for alpha, n in ((1 / 3, 5), (0.5, 3), (0.9, 2), (1.0, 1)):
+            got = add_steps(frame_, ewm_steps("y", "close", alpha, n), ["y"]).toPandas().sort_values("date")
+            want = smooth(pd.Series(data.close, dtype=float), alpha, n)
+            np.testing.assert_allclose(got.y.astype(float), want, rtol=1e-12)
+    for n in (1, 3, 7, 10, 13, 20, 57, 252):
+        got = add_steps(number_bars(to_bars(bars)), mean_steps("y", "close", n), ["y"]).toPandas().sort_values("date")
+        np.testing.assert_allclose(got.y, bars.close.rolling(n).mean(), rtol=1e-12)
+
+
+def test_reach_of_steps():
+    book = daily_book() | level_steps() | c.bb_squeeze(20, 252).steps() | c.proximity("low", "ema_50", 1.0, 3).steps()
+    reads = [*DAILY_FIELDS]
+    assert reach(book, ["sma_200_slope"], OHLCV) == 199 + 5
+    assert reach(book, ["roc_63", "mom_12_1"], OHLCV) == 252
+    assert reach(book, ["ema_10"], OHLCV) is None and reach(book, ["rsi"], OHLCV) is None
+    assert reach(book, ["ema_10", "rsi"], reads) == 0 and reach(book, ["high_52w"], OHLCV) == 252
+    assert reach(book, ["support"], reads) == 245 + 5
+    assert reach(book, [c.proximity("low", "ema_50", 1.0, 3).name], reads) == 2
+    assert reach(book, [c.bb_squeeze(20, 252).name], reads) == 251
+    assert reach(daily_book(seeded=True), DAILY_FIELDS, [*OHLCV, "_seed"]) == 252
 
 
 def test_smoothing_over_gaps(spark):

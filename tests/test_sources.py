@@ -12,7 +12,8 @@ from tickloom.operators import quality
 from tickloom.operators.screen import Market, evaluate, signal_bars, stored_market
 from tickloom.sources import bars as src
 from tickloom.sources import stores
-from tickloom.streaming.upserts import merge_batch, read_store, start_upserts
+from tickloom.sources.panels import PanelStore
+from tickloom.streaming.upserts import read_stream, start_upserts
 
 CSV = """SYMBOL, SERIES, DATE1, PREV_CLOSE, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, LAST_PRICE, CLOSE_PRICE, AVG_PRICE, TTL_TRD_QNTY, TURNOVER_LACS, NO_OF_TRADES, DELIV_QTY, DELIV_PER
 AAA, EQ, 03-Jul-2026, 10, 10, 11, 9, 10, 10.5, 10, 1000, 1, 1, 500, 50.5
@@ -119,19 +120,20 @@ def test_sinks(spark, walk_bars, tmp_path):
 
 
 def test_stream_of_late_bars(spark, to_bars, tmp_path):
-    land, store = str(tmp_path / "land"), str(tmp_path / "store")
-    args = (store, str(tmp_path / "staging"), str(tmp_path / "ck"))
-    from tickloom.streaming.upserts import read_stream
+    land, store = str(tmp_path / "land"), PanelStore(spark, str(tmp_path / "store"))
     first = frame("A", np.arange(1.0, 41))
     to_bars(first).write.parquet(land)
-    start_upserts(read_stream(spark, land), *args).awaitTermination()
+    start_upserts(read_stream(spark, land), store, str(tmp_path / "ck")).awaitTermination()
     late = frame("A", np.arange(101.0, 141)).iloc[38:]
     bad = late.assign(symbol="BAD", low=-1.0)
     to_bars(late, bad).write.mode("append").parquet(land)
-    start_upserts(read_stream(spark, land), *args).awaitTermination()
-    merge_batch(to_bars(late), store, str(tmp_path / "staging"), 99)  # a retry
-    got = read_store(spark, store).orderBy("date").collect()
+    start_upserts(read_stream(spark, land), store, str(tmp_path / "ck")).awaitTermination()
+    version = store.store.version().number
+    store.extend(to_bars(first), "stream", 1)  # a retry
+    assert store.store.version().number == version == 2
+    got = store.bars().orderBy("date").collect()
     assert len(got) == 40 and got[37].close == 38 and got[39].close == 140
+    assert store.panel(0).count() == 40 and store.panel().count() == 0
 
 
 def test_quality_report_finds_planted_faults(spark, to_bars):

@@ -13,18 +13,30 @@ it keeps ``b^g exp(e[i])`` with ``e[i] = -log(b^g + a)``, which is 0 where ``g``
 The sum is taken inside blocks of ``BLOCK`` bars with exponents centred on the block, so
 powers stay inside the double range as long as a <= 0.25. Results of closed blocks, one
 per ``BLOCK`` bars, are folded in order and carried over.
+
+A larger a forgets so fast that the bars of a short window decide all digits of a double:
+there the recursion runs over that window.
+
+A smoothing may go on from where an earlier one stopped: a column ``_seed`` holds, per symbol,
+the bar ``pos`` and what was known there of each smoothing (``y_<out>``) and each input
+(``at_<x>``, the last bar with one, and ``seen_<x>``). Inputs up to ``pos`` are then left out.
 """
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .steps import Step
-from .windows import BLOCK, history, so_far
+from .windows import BLOCK, note_reach, so_far, trailing
 
 MAX_ALPHA = 0.25
+# the windows of ``functions.windows`` in SQL
+IN_BLOCK = "over (partition by symbol, _blk order by date rows between unbounded preceding and current row)"
+SO_FAR = "over (partition by symbol order by _blk, date rows between unbounded preceding and current row)"
+EARLIER = "over (partition by symbol order by _blk, date rows between unbounded preceding and 1 preceding)"
 
 
 def span_alpha(n: int) -> float:
@@ -35,73 +47,110 @@ def wilder_alpha(n: int) -> float:
     return 1.0 / n
 
 
-def ewm_steps(out: str, x: str, alpha: float, min_periods: int) -> dict[str, Step]:
-    """Steps that add ``out``, the smoothing of column ``x``."""
-    if not 0 < alpha <= MAX_ALPHA + 1e-12:
-        raise ValueError(f"smoothing factor {alpha} outside (0, {MAX_ALPHA}]")
+def _short_memory_steps(out: str, x: str, alpha: float, min_periods: int) -> dict[str, Step]:
+    """A bar ``k`` back weighs b^k at most, which is nothing from ``k`` on."""
     b = 1.0 - alpha
-    log_b = math.log(b)
-    block = (Window.partitionBy("symbol", "_blk").orderBy("date")
-             .rowsBetween(Window.unboundedPreceding, 0))
-
-    def start() -> Column:
-        return F.col("_blk") * BLOCK
+    k = 1 if b == 0 else min(BLOCK, math.ceil(60 * math.log(2) / -math.log(b)))
+    raw = f"_{out}_at_inputs"
 
-    def at() -> Column:
-        """Where the last input is, of this bar or before."""
-        return F.when(F.col(x).isNotNull(), F.col("bar_idx")).otherwise(F.col(f"_{x}_prev"))
-
-    def excess_of(gap: Column) -> Column:
-        return F.when(gap > 1, -F.log(F.pow(F.lit(b), gap) + alpha)).otherwise(0.0)
+    def value() -> Column:
+        inputs = F.collect_list(F.when(F.col(x).isNotNull(), F.struct(
+            F.col("bar_idx").alias("at"), F.col(x).cast("double").alias("x")))).over(trailing(k + 1))
 
-    def excess() -> Column:
-        inside = F.col(x).isNotNull() & (F.col(f"_{x}_prev") >= start())
-        e = F.when(inside, excess_of(F.col("bar_idx") - F.col(f"_{x}_prev")))
-        return F.coalesce(F.sum(e).over(block), F.lit(0.0))
+        def take(acc: Column, i: Column) -> Column:
+            left = F.pow(F.lit(b), i["at"] - acc["at"])
+            return F.struct(F.when(acc["y"].isNull(), i["x"]).otherwise(
+                (left * acc["y"] + alpha * i["x"]) / (left + alpha)).alias("y"), i["at"].alias("at"))
 
-    def power(steps: Column, sign: int) -> Column:
-        """b^(sign steps) exp(sign E), plain where E is 0."""
-        e = F.col(f"_{out}_excess")
-        return F.when(e == 0, F.pow(F.lit(b), sign * steps)).otherwise(F.exp(sign * (steps * log_b + e)))
-
-    def local() -> Column:
-        middle = start() + BLOCK // 2
-        gap = F.col("bar_idx") - F.col(f"_{x}_prev")
-        share = (F.when(gap.isNull(), 1.0).when(gap == 1, alpha)
-                 .otherwise(alpha / (F.pow(F.lit(b), gap) + alpha)))
-        total = F.sum(F.col(x) * share * power(F.col("bar_idx") - middle, -1)).over(block)
-        return total * power(at() - middle, 1)
-
-    def carried() -> Column:
-        closed = F.when((F.col("bar_idx") % BLOCK == BLOCK - 1) & F.col(f"_{out}_local").isNotNull(), F.struct(
-            F.col(f"_{out}_local").alias("y"), at().alias("at"), F.col(f"_{x}_from").alias("first"),
-            F.col(f"_{out}_excess").alias("e")))
-        return F.collect_list(closed).over(history().rowsBetween(Window.unboundedPreceding, -1))
-
-    def onto(y: Column, before: Column, local: Column, at: Column, first: Column, e: Column) -> Column:
-        """A block's result with what came before it, which stands at ``before``."""
-        return local + y * F.exp((at - before) * log_b + e + excess_of(first - before))
+        start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).cast("int").alias("at"))
+        return F.when(F.col(x).isNotNull(), F.aggregate(inputs, start, take)["y"])
 
-    def value() -> Column:
-        own = F.col(f"_{out}_local")
-        blocks = F.col(f"_{out}_carry")
-        past = F.aggregate(
-            F.slice(blocks, 2, BLOCK), F.struct(blocks[0].y.alias("y"), blocks[0]["at"].alias("at")),
-            lambda acc, k: F.struct(onto(acc.y, acc["at"], k.y, k["at"], k["first"], k.e).alias("y"), k["at"].alias("at")))
-        joined = onto(past.y, past["at"], own, at(), F.col(f"_{x}_from"), F.col(f"_{out}_excess"))
-        y = F.when(F.size(blocks) == 0, own).otherwise(F.when(own.isNull(), past.y).otherwise(joined))
-        return F.when(F.col(f"_{x}_seen") >= min_periods, y)
-
-    inputs = (x, f"_{x}_prev")
     return {
         f"_{x}_seen": Step((x,), lambda: F.count(x).over(so_far())),
-        f"_{x}_prev": Step((x,), lambda: F.last(
-            F.when(F.col(x).isNotNull(), F.col("bar_idx")), ignorenulls=True).over(
-            history().rowsBetween(Window.unboundedPreceding, -1))),
-        f"_{x}_from": Step((x,), lambda: F.min(
-            F.when(F.col(x).isNotNull(), F.col("bar_idx"))).over(block)),
-        f"_{out}_excess": Step(inputs, excess),
-        f"_{out}_local": Step((*inputs, f"_{out}_excess"), local),
-        f"_{out}_carry": Step((*inputs, f"_{out}_local", f"_{out}_excess", f"_{x}_from"), carried),
-        out: Step((*inputs, f"_{out}_local", f"_{out}_carry", f"_{out}_excess", f"_{x}_seen", f"_{x}_from"), value),
+        raw: Step((x,), value),
+        out: Step((raw, f"_{x}_seen"), lambda: F.when(
+            F.col(f"_{x}_seen") >= min_periods, F.last(raw, ignorenulls=True).over(so_far()))),
+    }
+
+
+def ewm_steps(out: str, x: str, alpha: float, min_periods: int, seeded: bool = False) -> dict[str, Step]:
+    """Steps that add ``out``, the smoothing of column ``x``. ``seeded``: it goes on from the
+    column ``_seed``; further columns ``_<out>_y`` and ``_<x>_at`` are what a seed needs."""
+    if not 0 < alpha <= 1:
+        raise ValueError(f"smoothing factor {alpha} outside (0, 1]")
+    if alpha > MAX_ALPHA + 1e-12:
+        if seeded:
+            raise ValueError(f"smoothing factor {alpha} needs no seed")
+        return _short_memory_steps(out, x, alpha, min_periods)
+    b, log_b = (f"{v!r}D" for v in (1.0 - alpha, math.log(1.0 - alpha)))
+    a = f"{alpha!r}D"
+    given = f"_{x}_given" if seeded else x  # the inputs that count
+    local, carry, excess = (f"`_{out}_{what}`" for what in ("local", "carry", "excess"))
+    prev, first_here = f"`_{x}_prev`", f"`_{x}_from`"
+
+    # where the last input is: before this bar, or of this bar or before
+    before = f"coalesce({prev}, _seed.`at_{x}`)" if seeded else prev
+    at = f"if(`{given}` is not null, bar_idx, {before})"
+    middle = f"(_blk * {BLOCK} + {BLOCK // 2})"
+
+    def whole(text: str) -> Callable[[], Column]:
+        """A column whose windows look at all bars before it, written as SQL: a smoothing has
+        hundreds of operations, and each would be a call to the JVM."""
+        def build() -> Column:
+            note_reach(None)
+            return F.expr(text)
+        return build
+
+    def excess_of(gap: str) -> str:
+        return f"if({gap} > 1, -ln(power({b}, {gap}) + {a}), 0D)"
+
+    def power(steps: str, sign: int) -> str:
+        """b^(sign steps) exp(sign E), plain where E is 0."""
+        return f"if({excess} = 0, power({b}, {sign} * ({steps})), exp({sign} * (({steps}) * {log_b} + {excess})))"
+
+    def onto(y: str, stands: str, local: str, at: str, first: str, e: str) -> str:
+        """A block's result with what came before it, which stands at ``stands``."""
+        return f"{local} + {y} * exp(({at} - {stands}) * {log_b} + {e} + {excess_of(f'({first} - {stands})')})"
+
+    gap = f"(bar_idx - {before})"
+    share = f"case when {gap} is null then 1D when {gap} = 1 then {a} else {a} / (power({b}, {gap}) + {a}) end"
+    inner = f"if(`{given}` is not null and {prev} >= _blk * {BLOCK}, {excess_of(f'(bar_idx - {prev})')}, null)"
+    total = f"sum(`{given}` * ({share}) * {power(f'bar_idx - {middle}', -1)}) {IN_BLOCK}"
+    closed = (f"if(bar_idx % {BLOCK} = {BLOCK - 1} and {local} is not null, named_struct('y', {local}, 'at', {at}, "
+              f"'first', {first_here}, 'e', {excess}), null)")
+
+    start, later, nothing = f"named_struct('y', get({carry}, 0).y, 'at', get({carry}, 0).at)", f"slice({carry}, 2, {BLOCK})", \
+        f"size({carry}) = 0"
+    if seeded:
+        told = f"_seed.`y_{out}` is not null"
+        start = f"if({told}, named_struct('y', _seed.`y_{out}`, 'at', _seed.`at_{x}`), {start})"
+        later, nothing = f"if({told}, {carry}, {later})", f"({nothing} and not {told})"
+    past = (f"aggregate({later}, {start}, (acc, k) -> named_struct('y', "
+            f"{onto('acc.y', 'acc.at', 'k.y', 'k.at', 'k.first', 'k.e')}, 'at', k.at))")
+    joined = (f"transform(array({past}), p -> if({local} is null, p.y, "
+              f"{onto('p.y', 'p.at', local, at, first_here, excess)}))[0]")
+    value = f"if({nothing}, {local}, {joined})"
+    seen = f"count(`{given}`) {SO_FAR}" + (f" + coalesce(_seed.`seen_{x}`, 0)" if seeded else "")
+
+    # with a seed no bar before it counts
+    bars = 0 if seeded else None
+    inputs = (given, f"_{x}_prev", *(["_seed"] if seeded else []))
+    book = {
+        f"_{x}_seen": Step((given, *inputs[2:]), whole(seen), bars),
+        f"_{x}_prev": Step((given,), whole(f"last(if(`{given}` is not null, bar_idx, null), true) {EARLIER}"), bars),
+        f"_{x}_from": Step((given,), whole(f"min(if(`{given}` is not null, bar_idx, null)) {IN_BLOCK}"), bars),
+        f"_{out}_excess": Step(inputs, whole(f"coalesce(sum({inner}) {IN_BLOCK}, 0D)"), bars),
+        f"_{out}_local": Step((*inputs, f"_{out}_excess"), whole(f"{total} * {power(f'{at} - {middle}', 1)}"), bars),
+        f"_{out}_carry": Step((*inputs, f"_{out}_local", f"_{out}_excess", f"_{x}_from"),
+                              whole(f"collect_list({closed}) {EARLIER}"), bars),
+    }
+    reads = (*inputs, f"_{out}_local", f"_{out}_carry", f"_{out}_excess", f"_{x}_from")
+    enough = f"`_{x}_seen` >= {min_periods}"
+    if not seeded:
+        return book | {out: Step((*reads, f"_{x}_seen"), whole(f"if({enough}, {value}, null)"))}
+    return book | {
+        given: Step((x, "_seed"), lambda: F.expr(f"if(_seed is null or bar_idx > _seed.pos, `{x}`, null)")),
+        f"_{x}_at": Step(inputs, lambda: F.expr(at)),
+        f"_{out}_y": Step(reads, whole(value), 0),
+        out: Step((f"_{out}_y", f"_{x}_seen"), lambda: F.expr(f"if({enough}, `_{out}_y`, null)")),
     }

@@ -23,15 +23,19 @@ def _back(name: str, distance: int) -> tuple[str, dict[str, Step]]:
 
 def mean_steps(out: str, col: str, n: int, base: int = 10) -> dict[str, Step]:
     """Mean of the last ``n`` values, null until there are ``n``."""
-    if n % base:
-        raise ValueError(f"{n} is not a multiple of {base}")
-    short = f"_{col}_sum{base}"
+    short, rest = f"_{col}_sum{base}", n % base
     book = {short: Step((col,), lambda: rolling(F.sum, col, base))}
     parts = []
-    for distance in range(0, n, base):
+    for distance in range(0, n - rest, base):
         name, step = _back(short, distance)
         parts.append(name)
         book |= step
+    if rest:  # the oldest values, fewer than ``base``
+        oldest = f"_{col}_sum{rest}"
+        book[oldest] = Step((col,), lambda: rolling(F.sum, col, rest))
+        name, step = _back(oldest, n - rest)
+        parts.append(name)
+        book |= step
     book[out] = Step(tuple(parts), lambda: reduce(
         lambda a, b: a + b, [F.col(p) for p in parts]) / n)
     return book
@@ -45,7 +49,8 @@ def extreme_steps(out: str, col: str, agg: str, n: int, min_periods: int,
     short = f"_{col}_{agg}{base}"
     seen = f"_{col}_seen"
     book = {short: Step((col,), lambda: pick(col).over(trailing(base))),
-            seen: Step((col,), lambda: F.count(col).over(so_far()))}
+            # only differences of it are used
+            seen: Step((col,), lambda: F.count(col).over(so_far()), 0)}
     parts = []
     for distance in [*range(0, n - base, base), n - base]:
         name, step = _back(short, distance)

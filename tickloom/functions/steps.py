@@ -10,12 +10,14 @@ therefore carried through the remaining stages inside one struct per level and
 unpacked at the end; intermediate columns are dropped after their last reader.
 """
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import own_reach
+
 # read by the windows and smoothing of any step
 POSITION = ("symbol", "date", "bar_idx", "n_bars", "_blk")
 # fewer columns than this are not worth a struct
@@ -24,8 +26,29 @@ PACK_FROM = 4
 
 @dataclass(frozen=True)
 class Step:
+    """``reach``: bars before its own that the value depends on, for steps whose windows say
+    more than they need; else it is taken from the windows."""
+
     reads: tuple[str, ...]
     build: Callable[[], Column]
+    reach: int | None = None
+
+
+def reach(book: Mapping[str, Step], wanted: Iterable[str], have: Iterable[str]) -> int | None:
+    """How many bars before its own a bar needs for the ``wanted`` columns when a table has
+    the columns ``have`` already; None if it needs them all."""
+    known: dict[str, int | None] = dict.fromkeys(have, 0)
+
+    def of(name: str) -> int | None:
+        if name not in known:
+            step = book[name]
+            own = own_reach(step.build) if step.reach is None else step.reach
+            below = [of(r) for r in step.reads]
+            known[name] = None if own is None or None in below else own + max(below, default=0)
+        return known[name]
+
+    every = [of(name) for name in wanted]
+    return None if None in every else max(every, default=0)
 
 
 def add_steps(df: DataFrame, book: dict[str, Step], wanted: Iterable[str]) -> DataFrame:

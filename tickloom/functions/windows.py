@@ -11,6 +11,7 @@ rows a year: the size of a group is bounded by the calendar, not by the table.
 """
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,44 @@ def number_bars(df: DataFrame, min_bars: int = 0) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col("bar_idx") / BLOCK))
 
 
-def history() -> WindowSpec:
+_noted: ContextVar[list[int | None] | None] = ContextVar("_noted", default=None)
+
+
+def note_reach(bars: int | None) -> None:
+    """The column being built looks so many bars back; None: at all of them."""
+    notes = _noted.get()
+    if notes is not None:
+        notes.append(bars)
+
+
+def own_reach(build: Callable[[], Column]) -> int | None:
+    """How many bars before its own the windows of a column look at, None for all."""
+    token = _noted.set([])
+    try:
+        build()
+        notes = _noted.get()
+    finally:
+        _noted.reset(token)
+    return None if None in notes else max(notes, default=0)
+
+
+def _ordered() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("_blk", "date")
 
 
+def history() -> WindowSpec:
+    note_reach(None)
+    return _ordered()
+
+
+def between(first: int, last: int) -> WindowSpec:
+    """Bars from ``first`` to ``last``, counted from a bar's own."""
+    note_reach(max(-first, 0))
+    return _ordered().rowsBetween(first, last)
+
+
 def trailing(n: int) -> WindowSpec:
-    return history().rowsBetween(-(n - 1), 0)
+    return between(-(n - 1), 0)
 
 
 def so_far() -> WindowSpec:
@@ -61,11 +94,12 @@ def so_far() -> WindowSpec:
 
 
 def lag(col: str, n: int = 1) -> Column:
-    return F.lag(col, n).over(history())
+    note_reach(n)
+    return F.lag(col, n).over(_ordered())
 
 
 def lead(col: str, n: int = 1) -> Column:
-    return F.lead(col, n).over(history())
+    return F.lead(col, n).over(_ordered())
 
 
 def rolling(agg: Callable, col: str, n: int, min_periods: int | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.steps import Step
-from ..functions.windows import all_in_last, any_in_last, lag, rolling, trailing
+from ..functions.windows import all_in_last, any_in_last, between, lag, rolling, trailing
 from ..schema import DAILY_FIELDS, WEEKLY_FIELDS
 from .indicators import pct_change
 from .levels import divergence_steps, level_steps
@@ -436,8 +436,7 @@ PATTERNS = {
 
 
 def _range_min_before() -> Column:
-    from ..functions.windows import history
-    six = history().rowsBetween(-6, -1)
+    six = between(-6, -1)
     return F.when(F.count("_bar_range").over(six) == 6, F.min("_bar_range").over(six))
 
 

@@ -15,14 +15,13 @@ from pyspark.sql.window import Window
 from ..functions.asof import calendar, standing_days
 from ..functions.ranks import counted_values, percentile_rank
 from ..functions.steps import Step, add_steps
-from ..functions.windows import history, number_bars
-from ..session import settle
+from ..functions.windows import between, lag, number_bars
+from ..session import written
 from .indicators import MIN_HISTORY, daily_book, pct_change
 
 
 def return_step(window: int) -> Step:
-    return Step(("close",), lambda: pct_change(
-        F.col("close"), F.lag("close", window).over(history())))
+    return Step(("close",), lambda: pct_change(F.col("close"), lag("close", window)))
 
 
 def rank_inputs(needs: Iterable[str]) -> dict[str, Step]:
@@ -71,7 +70,7 @@ def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False,
     needs = sorted(n for n in needs if n.startswith(("rank:", "sector_rank:")))
     if not needs:
         return df
-    df = settle(df)
+    df = written(df)
     carried = rank_values(needs)
     if any(n.startswith("sector_rank:") for n in needs):
         carried.append("industry")
@@ -99,7 +98,7 @@ def breadth(bars: DataFrame, min_bars: int = MIN_HISTORY) -> DataFrame:
     average and the share at or above their previous 20 highs, each among the
     symbols with enough history for it."""
     book = daily_book()
-    twenty = lambda: history().rowsBetween(-20, -1)
+    twenty = lambda: between(-20, -1)
     book["_prior_high"] = Step(("high",), lambda: F.when(
         F.count("high").over(twenty()) == 20, F.max("high").over(twenty())))
     df = add_steps(number_bars(bars, min_bars), book, ["sma_200", "_prior_high"])

@@ -1,6 +1,7 @@
 """Daily and weekly indicator columns."""
 
 from collections.abc import Iterable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def _roc(n: int) -> Step:
     return Step(("close",), lambda: pct_change(F.col("close"), lag("close", n)))
 
 
-def _rsi_steps(n: int) -> dict[str, Step]:
+def _rsi_steps(n: int, smooth=ewm_steps) -> dict[str, Step]:
     """Wilder's index; null, not 100, while the average loss is zero."""
     move = lambda: F.col("close") - F.col("_prev_close")
     gain, loss = F.col, F.col
@@ -41,14 +42,14 @@ def _rsi_steps(n: int) -> dict[str, Step]:
             move().isNotNull(), F.greatest(move(), F.lit(0.0)))),
         "_loss": Step(("close", "_prev_close"), lambda: F.when(
             move().isNotNull(), F.greatest(-move(), F.lit(0.0)))),
-        **ewm_steps("_avg_gain", "_gain", wilder_alpha(n), n),
-        **ewm_steps("_avg_loss", "_loss", wilder_alpha(n), n),
+        **smooth("_avg_gain", "_gain", wilder_alpha(n), n),
+        **smooth("_avg_loss", "_loss", wilder_alpha(n), n),
         "rsi": Step(("_avg_gain", "_avg_loss"), lambda: 100 - 100 / (
             1 + gain("_avg_gain") / F.nullif(loss("_avg_loss"), F.lit(0.0)))),
     }
 
 
-def _directional_steps(n: int) -> dict[str, Step]:
+def _directional_steps(n: int, smooth=ewm_steps) -> dict[str, Step]:
     up = lambda: F.col("high") - F.col("_prev_high")
     down = lambda: F.col("_prev_low") - F.col("low")
 
@@ -64,19 +65,19 @@ def _directional_steps(n: int) -> dict[str, Step]:
             F.col("high") - F.col("low"),
             F.abs(F.col("high") - F.col("_prev_close")),
             F.abs(F.col("low") - F.col("_prev_close")))),
-        **ewm_steps("atr", "_true_range", wilder_alpha(n), n),
+        **smooth("atr", "_true_range", wilder_alpha(n), n),
         "atr_pct": Step(("atr", "close"), lambda: 100 * F.col("atr") / F.nullif(
             F.col("close"), F.lit(0.0))),
         "_plus_dm": Step(reads, lambda: moved(up, down)),
         "_minus_dm": Step(reads, lambda: moved(down, up)),
-        **ewm_steps("_plus_dm_avg", "_plus_dm", wilder_alpha(n), n),
-        **ewm_steps("_minus_dm_avg", "_minus_dm", wilder_alpha(n), n),
+        **smooth("_plus_dm_avg", "_plus_dm", wilder_alpha(n), n),
+        **smooth("_minus_dm_avg", "_minus_dm", wilder_alpha(n), n),
         "plus_di": Step(("_plus_dm_avg", "atr"), lambda: index("_plus_dm_avg")),
         "minus_di": Step(("_minus_dm_avg", "atr"), lambda: index("_minus_dm_avg")),
         "_dx": Step(("plus_di", "minus_di"), lambda: 100 * F.abs(
             F.col("plus_di") - F.col("minus_di")) / F.nullif(
             F.col("plus_di") + F.col("minus_di"), F.lit(0.0))),
-        **ewm_steps("adx", "_dx", wilder_alpha(n), n),
+        **smooth("adx", "_dx", wilder_alpha(n), n),
         "adx_slope": _slope("adx", 5),
     }
 
@@ -93,12 +94,12 @@ def stochastic_steps(n: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> dict[
     }
 
 
-def _macd_steps() -> dict[str, Step]:
+def _macd_steps(smooth=ewm_steps) -> dict[str, Step]:
     return {
-        **ewm_steps("_ema_12", "close", span_alpha(12), 12),
-        **ewm_steps("_ema_26", "close", span_alpha(26), 26),
+        **smooth("_ema_12", "close", span_alpha(12), 12),
+        **smooth("_ema_26", "close", span_alpha(26), 26),
         "macd": Step(("_ema_12", "_ema_26"), lambda: F.col("_ema_12") - F.col("_ema_26")),
-        **ewm_steps("macd_signal", "macd", span_alpha(9), 9),
+        **smooth("macd_signal", "macd", span_alpha(9), 9),
         "macd_hist": Step(("macd", "macd_signal"),
                           lambda: F.col("macd") - F.col("macd_signal")),
     }
@@ -127,7 +128,17 @@ def _yearly_range_steps() -> dict[str, Step]:
     }
 
 
-def daily_book(turnover_scale: float = 1e7) -> dict[str, Step]:
+# Smoothings of the daily panel and their inputs, inner ones included.
+SMOOTHED = {
+    **{f"ema_{n}": "close" for n in EMA_PERIODS}, "_ema_12": "close", "_ema_26": "close",
+    "_avg_gain": "_gain", "_avg_loss": "_loss", "atr": "_true_range", "_plus_dm_avg": "_plus_dm",
+    "_minus_dm_avg": "_minus_dm", "adx": "_dx", "macd_signal": "macd",
+}
+
+
+def daily_book(turnover_scale: float = 1e7, seeded: bool = False) -> dict[str, Step]:
+    """``seeded``: smoothings go on from a column ``_seed`` (see ``functions.ewm``)."""
+    smooth = partial(ewm_steps, seeded=seeded)
     book = {
         "_prev_close": _lag_step("close"),
         "_prev_open": _lag_step("open"),
@@ -135,15 +146,15 @@ def daily_book(turnover_scale: float = 1e7) -> dict[str, Step]:
         "_prev_low": _lag_step("low"),
     }
     for n in EMA_PERIODS:
-        book |= ewm_steps(f"ema_{n}", "close", span_alpha(n), n)
+        book |= smooth(f"ema_{n}", "close", span_alpha(n), n)
         book[f"ema_{n}_slope"] = _slope(f"ema_{n}", 5)
     for n in SMA_PERIODS:
         book |= mean_steps(f"sma_{n}", "close", n)
         book[f"sma_{n}_slope"] = _slope(f"sma_{n}", 5)
-    book |= _rsi_steps(14)
-    book |= _directional_steps(14)
+    book |= _rsi_steps(14, smooth)
+    book |= _directional_steps(14, smooth)
     book |= stochastic_steps()
-    book |= _macd_steps()
+    book |= _macd_steps(smooth)
     book |= _band_steps()
     book["vol_avg_20"] = Step(("volume",), lambda: rolling(F.avg, "volume", 20))
     book["vol_ratio"] = Step(("volume", "vol_avg_20"), lambda: F.col("volume") / F.nullif(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import gather_steps
 from ..functions.steps import Step
-from ..functions.windows import history
+from ..functions.windows import between
 
 PIVOT_K = 5
 LOOKBACK = 250
@@ -21,7 +21,7 @@ TOLERANCE_PCT = 1.0
 
 
 def _pivot(col: str, extreme, k: int) -> Column:
-    centred = history().rowsBetween(-k, k)
+    centred = between(-k, k)
     return F.coalesce((F.count(col).over(centred) == 2 * k + 1)
                       & (F.col(col) == extreme(col).over(centred)), F.lit(False))
 
@@ -91,7 +91,7 @@ def divergence_steps(name: str, kind: str, oscillator: str, lookback: int,
 
     def pivots() -> Column:
         # pivots need k bars on both sides inside the window
-        frame = history().rowsBetween(-(lookback - 1 - k), -k)
+        frame = between(-(lookback - 1 - k), -k)
         point = F.struct(F.col("bar_idx").alias("at"), F.col("date").alias("date"),
                          F.col(price).alias("price"), F.col(oscillator).alias("osc"))
         return F.collect_list(F.when(F.col(flag), point)).over(frame)

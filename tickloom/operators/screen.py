@@ -30,10 +30,15 @@ class Market:
     min_bars: int = MIN_HISTORY
 
     def until(self, as_of) -> "Market":
-        """The market as it was known on a date: later bars removed."""
+        """The market as it was known on a date: later bars removed. Whether a symbol has enough
+        bars is judged on all it has, on this path and on that of a stored panel
+        (``sources.panels``)."""
         cut = lambda df: df if df is None else df.filter(F.col("date") <= F.lit(as_of).cast("date"))  # noqa: E731,E501
-        return Market(cut(self.bars).drop("bar_idx", "n_bars"), self.universe,
-                      cut(self.benchmark), self.min_bars)
+        bars = cut(self.bars)
+        if self.min_bars:
+            deep = self.bars.groupBy("symbol").count().filter(F.col("count") >= self.min_bars)
+            bars = bars.join(deep.select("symbol"), "symbol", "left_semi")
+        return Market(bars.drop("bar_idx", "n_bars"), self.universe, cut(self.benchmark), 0)
 
 
 def stored_market(panel: DataFrame, universe: DataFrame | None = None,
@@ -96,6 +101,29 @@ def _join_context(market: Market, needs: set[str]) -> DataFrame:
     return df
 
 
+def _is_ranked(c: Condition) -> bool:
+    return any(n.startswith(("rank:", "sector_rank:")) for n in c.needs)
+
+
+def screen_columns(conditions: Sequence[Condition], fields: Sequence[str] = (),
+                   more: dict[str, Step] | None = None) -> tuple[dict[str, Step], list[str]]:
+    """The steps of a screen, and the columns that it takes from the panel: plain daily
+    conditions, ``fields``, and the values that ranks compare."""
+    needs = set().union(*[c.needs for c in conditions])
+    book = daily_book() | level_steps()
+    plain = [c for c in conditions if not c.weekly and not _is_ranked(c)]
+    for c in plain:
+        book |= c.steps()
+    book |= rank_inputs(needs)
+    if "breadth" in needs:
+        book["pct_above_200dma"] = Step(("_breadth",), lambda: F.last(
+            "_breadth", ignorenulls=True).over(so_far()))
+    book |= more or {}
+    inputs = [n.partition(":")[2] for n in needs if n.startswith("rank:")]
+    inputs += [f"ret_{n.partition(':')[2]}" for n in needs if n.startswith("sector_rank:")]
+    return book, [*[c.name for c in plain], *[f for f in fields if not _reads_rank(f)], *inputs]
+
+
 def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[str] = (),
             steps: dict[str, Step] | None = None, latest: bool = False,
             extra_steps: dict[str, Step] | None = None) -> DataFrame:
@@ -107,36 +135,22 @@ def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[st
     ``latest`` keeps the last bar of each symbol."""
     conditions = list(dict.fromkeys(conditions))
     needs = set().union(*[c.needs for c in conditions])
-    book = daily_book() | level_steps()
-    daily = [c for c in conditions if not c.weekly]
     weekly = [c for c in conditions if c.weekly]
-    ranked = [c for c in daily if any(n.startswith(("rank:", "sector_rank:")) for n in c.needs)]
-    plain = [c for c in daily if c not in ranked]
-    for c in plain:
-        book |= c.steps()
-    book |= rank_inputs(needs)
-    if "breadth" in needs:
-        book["pct_above_200dma"] = Step(("_breadth",), lambda: F.last(
-            "_breadth", ignorenulls=True).over(so_far()))
+    ranked = [c for c in conditions if not c.weekly and _is_ranked(c)]
     steps = steps or {}
-    book |= steps | (extra_steps or {})
-    inputs = [n.partition(":")[2] for n in needs if n.startswith("rank:")]
-    inputs += [f"ret_{n.partition(':')[2]}" for n in needs if n.startswith("sector_rank:")]
+    book, wanted = screen_columns(conditions, [*fields, *steps], steps | (extra_steps or {}))
 
     after: dict[str, Step] = {}
     for c in ranked:
         after |= c.steps()
-    late = [n for n in [*fields, *steps] if _reads_rank(n)]
-    early = [n for n in [*fields, *steps] if n not in late]
     df = _join_context(market, needs)
     if weekly:
         df = _join_weekly(df, market.bars, weekly)
-    df = add_steps(number_bars(df, market.min_bars), book,
-                   [*[c.name for c in plain], *early, *inputs])
+    df = add_steps(number_bars(df, market.min_bars), book, wanted)
     if latest:
         df = df.filter(F.col("bar_idx") == F.col("n_bars") - 1)
     keep = ["symbol", "date", "bar_idx", "n_bars", *(["industry"] if "universe" in needs else []),
-            *inputs, *[c.name for c in plain + weekly], *early]
+            *wanted, *[c.name for c in weekly]]
     df = df.select(*dict.fromkeys(keep))
     df = with_ranks(df, needs, latest, market.bars)
     df = add_steps(df, after, [c.name for c in ranked])

@@ -1,53 +1,26 @@
-"""Bars that arrive as files: a stream merged into the price store.
+"""Bars that arrive as files: a stream merged into a kept panel.
 
-The store is partitioned by month. A micro-batch rewrites only the months it
-touches; late corrections win over the stored bar. Merging the same batch again
-gives the same store, so a batch may be retried after a lost executor.
+A micro-batch brings the panel up to date in the commit that takes its bars in: late
+corrections win over the stored bar, only their symbols are computed again, and only the
+months that change are read and written. The stream's batch number goes with the commit, so a
+batch that is sent again after a lost executor or driver changes nothing.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import BARS
-from ..sources.bars import clean_bars, unique_bars, upsert_bars
+from ..sources.panels import PanelStore
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(BARS).parquet(path)
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(store).drop("month")
-
-
-def _month():
-    return F.date_format("date", "yyyy-MM")
-
-
-def merge_batch(batch: DataFrame, store: str, staging: str, batch_id: int) -> None:
-    """Merge one batch of bars into the store's months."""
-    spark = batch.sparkSession
-    fresh = unique_bars(clean_bars(batch)).withColumn("month", _month())
-    try:
-        stored = spark.read.parquet(store).withColumn("month", F.col("month").cast("string"))
-    except Exception as error:  # the first batch finds no store
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = fresh.limit(0)
-    touched = stored.join(fresh.select("month").distinct(), "month", "left_semi")
-    merged = upsert_bars(touched.drop("month"), fresh.drop("month")).withColumn("month", _month())
-    # the merged months are staged first: a store cannot be read and replaced in one job
-    folder = f"{staging}/{batch_id}"
-    merged.write.mode("overwrite").parquet(folder)
-    (spark.read.parquet(folder).repartition("month").sortWithinPartitions("symbol", "date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(store))
-
-
-def start_upserts(stream: DataFrame, store: str, staging: str, checkpoint: str) -> StreamingQuery:
-    """Merge everything that has arrived, then stop; run again for more."""
+def start_upserts(stream: DataFrame, store: PanelStore, checkpoint: str, writer: str = "stream") -> StreamingQuery:
+    """Merge everything that has arrived, then stop; run again for more. ``writer`` names the
+    stream in the store: a new checkpoint folder counts its batches anew and needs a new name."""
     return (stream.writeStream
-            .foreachBatch(lambda batch, i: merge_batch(batch, store, staging, i))
+            .foreachBatch(lambda batch, i: store.extend(batch, writer, i) and None)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
