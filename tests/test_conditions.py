@@ -163,3 +163,27 @@ def test_weekly_flag_of_the_last_closed_week(to_bars):
         known = week[week.index <= pd.Timestamp(d)]
         assert (d in got) == bool(len(known) and known.iloc[-1] > 100), d
     assert dt.date(2022, 1, 3) not in got
+
+
+def test_weekly_values_pass_through_the_daily_partitioning(spark, to_bars, tmp_path):
+    """The bars are shuffled by symbol once, and no join by week is made."""
+    path = str(tmp_path / "bars")
+    to_bars(walk("A", 400, 1), walk("B", 400, 2)).write.parquet(path)
+    bars = by_symbol(spark.read.parquet(path))
+    df = signals(Market(bars), [c.trend("up", "weekly"), c.compare("close", ">", "ema_20", "weekly")])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    # one shuffle, in the daily and in the weekly branch alike
+    assert plan.count("Exchange hashpartitioning(symbol") <= 2 and "hashpartitioning(symbol#" in plan
+    assert "date" not in "".join(x.split("Arguments")[0] for x in plan.split("\n") if "Exchange hashpartitioning" in x
+                                 and "," in x.split("hashpartitioning(")[1].split("#")[0])
+    assert df.count() == 800
+
+
+def test_run_statistics_count_what_the_gate_leaves_out(to_bars):
+    rich, poor = walk("RICH", 100, 1), walk("POOR", 100, 2)
+    rich["volume"], poor["volume"] = 1e7, 10.0
+    found = evaluate(Market(to_bars(rich, poor)), [c.compare("close", ">", 0.0), c.compare("close", "<", 0.0)])
+    row = screen_stats(found, gate=1.0).first().asDict()
+    assert row == {"universe": 2, "liquidity_excluded": 1, "evaluated": 1, "matched": 0, "near_misses": 1}
+    assert screen_stats(found).first().liquidity_excluded == 0

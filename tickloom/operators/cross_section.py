@@ -19,6 +19,9 @@ from ..functions.windows import between, lag, number_bars
 from ..session import written
 from .indicators import MIN_HISTORY, daily_book, pct_change
 
+#: Leading sectors that evidence names.
+LEADERS = 3
+
 
 def return_step(window: int) -> Step:
     return Step(("close",), lambda: pct_change(F.col("close"), lag("close", window)))
@@ -55,10 +58,14 @@ def _sectors(standing: DataFrame, window: int) -> DataFrame:
     mean = (standing.filter(F.col("industry").isNotNull()).groupBy("day", "industry")
             .agg(F.avg(value).alias("_mean")).filter(F.col("_mean").isNotNull()))
     best_first = Window.partitionBy("day").orderBy(F.desc("_mean"))
+    by_name = Window.partitionBy("day").orderBy(F.desc("_mean"), "industry").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    told = F.format_string("%s (%.2f%%)", "industry", "_mean")
     return mean.select(
         "day", "industry", F.col("_mean").alias(f"sector_ret_{window}"),
         F.rank().over(best_first).alias(f"sector_rank_{window}"),
-        F.count(F.lit(1)).over(Window.partitionBy("day")).alias(f"n_sectors_{window}"))
+        F.count(F.lit(1)).over(Window.partitionBy("day")).alias(f"n_sectors_{window}"),
+        F.array_join(F.slice(F.collect_list(told).over(by_name), 1, LEADERS), ", ").alias(f"sector_leaders_{window}"))
 
 
 def with_ranks(df: DataFrame, needs: Iterable[str], latest: bool = False,

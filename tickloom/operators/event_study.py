@@ -15,7 +15,7 @@ from ..functions.folds import spaced_out
 from ..functions.ranks import quantiles
 from ..functions.steps import Step, add_steps
 from ..functions.windows import lead, number_bars
-from ..session import settle
+from ..session import written
 from .conditions import SENSITIVITY_STEPS, Condition
 from .indicators import daily_book, pct_change
 from .screen import Market, hits, liquid, signals
@@ -127,7 +127,7 @@ def horizon_stats(rows: DataFrame, keys=("screen_id", "horizon"),
     keys = list(keys)
     measures = ("excess_gross", "excess_net")
     shares = {"p5": 0.05, "median": 0.5, "p95": 0.95}
-    done = settle(_complete(rows))
+    done = written(_complete(rows))
     long = done.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])).alias("_m")
     ).select(*keys, "_m.measure", "_m.x")
@@ -170,7 +170,7 @@ def bootstrap(rows: DataFrame, keys=("screen_id", "horizon"), replicates: int =
     draws follow from (seed, replicate, draw number), the same on every run
     and after every retry; they are spread over tasks by replicate."""
     keys = list(keys)
-    by_date = settle(_complete(rows).groupBy(*keys, "signal_date")
+    by_date = written(_complete(rows).groupBy(*keys, "signal_date")
                      .agg(F.avg("excess_net").alias("x")))
     order = Window.partitionBy(*keys).orderBy("signal_date")
     numbered = by_date.select(*keys, "x", (F.row_number().over(order) - 1).alias("k"),

@@ -26,6 +26,17 @@ def _last_hit(flag: str, value: str, n: int) -> Column:
     return F.last(_when(flag, value), ignorenulls=True).over(trailing(n))
 
 
+def evidence_words(c: Condition) -> dict[str, str]:
+    """{name: column} of what isn't a number: sectors, and the first of two dates."""
+    if c.kind == "sector":
+        return {"sector": "industry"}
+    if c.kind == "sector_rank":
+        return {"sector": "industry", "leaders": f"sector_leaders_{c['window']}"}
+    if c.kind == "divergence":
+        return {"first_date": f"_{c.name}_ev_first_date"}
+    return {}
+
+
 def evidence_steps(c: Condition) -> tuple[dict[str, Step], dict[str, str], str | None]:
     """Steps, {value name: column}, and the column of the date (or none)."""
     n = c.name
@@ -103,6 +114,7 @@ def evidence_steps(c: Condition) -> tuple[dict[str, Step], dict[str, str], str |
             for part in ("price", "osc"):
                 value(f"{part}_{i}", (f"{n}_pair",),
                       lambda which=which, part=part: F.col(f"{n}_pair.{which}.{part}"))
+        add("first_date", (f"{n}_pair",), lambda: F.col(f"{n}_pair.first.date"))
         at = add("at", (f"{n}_pair",), lambda: F.col(f"{n}_pair.second.date"))
     elif k in ("tight_range", "flat_base"):
         names["span_pct"] = f"_span_pct_{c['bars']}"
@@ -124,36 +136,43 @@ def evidence_steps(c: Condition) -> tuple[dict[str, Step], dict[str, str], str |
         names |= {"sector_rank": f"sector_rank_{w}", "n_sectors": f"n_sectors_{w}",
                   "sector_ret_pct": f"sector_ret_{w}"}
     elif k == "breadth":
-        names["pct_above_200dma"] = "pct_above_200dma"
+        names |= {x: x for x in ("pct_above_200dma", "pct_at_20d_high")}
     elif k == "sector":
         names = {}
     return book, names, at
 
 
 def explain(market: Market, conditions: Sequence[Condition], latest: bool = True) -> DataFrame:
-    """symbol, date, evidence ARRAY<STRUCT<cond_id, passed, values MAP, at DATE>>;
-    values that cannot be computed are null. Weekly conditions state the flag
-    only; their values live on the weekly panel."""
-    plans, extra = [], {}
+    """symbol, date, evidence ARRAY<STRUCT<cond_id, passed, values MAP, words MAP, at DATE>>;
+    values that cannot be computed are null. Those of weekly conditions are of the week whose
+    Friday was the last one at or before the bar."""
+    plans, extra, weekly_extra, weekly_values = [], {}, {}, {}
     keep: list[str] = []
     for c in conditions:
-        book, names, at = ({}, {}, None) if c.weekly else evidence_steps(c)
-        plans.append((c, names, at))
-        wanted = [*names.values()] + ([at] if at else [])
-        late = any(x.startswith(("rank:", "sector_rank:")) for x in c.needs)
-        for col in wanted:
-            keep.append(col)
-        if not late:
-            extra |= book
-    keep = list(dict.fromkeys(keep))
-    base = [c for c in keep if c not in ("close", "date")]
-    df = signals(market, conditions, ["close", *base], latest=latest, extra_steps=extra)
-    cells = []
-    for i, (c, names, at) in enumerate(plans):
-        values = F.create_map(*[x for label, col in names.items() for x in (
-            F.lit(label), F.col(col).cast("double"))]) if names \
-            else F.create_map().cast("map<string,double>")
-        cells.append(F.struct(
-            F.lit(i).alias("cond_id"), F.col(c.name).alias("passed"), values.alias("values"),
-            (F.col(at) if at else F.lit(None)).cast("date").alias("at")))
-    return df.select("symbol", "date", F.array(*cells).alias("evidence"))
+        book, names, at = evidence_steps(c)
+        words = evidence_words(c)
+        if c.weekly:
+            weekly_extra |= book
+            told = {f"_{c.name}_week_{label}": col for label, col in names.items()}
+            names = {label: f"_{c.name}_week_{label}" for label in names}
+            if at:
+                told[f"_{c.name}_week_at"] = at
+                at = f"_{c.name}_week_at"
+            weekly_values |= told
+        else:
+            keep += [*names.values(), *words.values(), *([at] if at else [])]
+            if not any(x.startswith(("rank:", "sector_rank:")) for x in c.needs):
+                extra |= book
+        plans.append((c, names, words, at))
+    base = [c for c in dict.fromkeys(keep) if c not in ("close", "date", "industry")]
+    df = signals(market, conditions, ["close", *base], latest=latest, extra_steps=extra,
+                 weekly_steps=weekly_extra, weekly_values=weekly_values)
+
+    def cells(columns: dict[str, str], kind: str) -> Column:
+        pairs = [x for label, col in columns.items() for x in (F.lit(label), F.col(col).cast(kind))]
+        return F.create_map(*pairs) if pairs else F.create_map().cast(f"map<string,{kind}>")
+
+    return df.select("symbol", "date", F.array(*[F.struct(
+        F.lit(i).alias("cond_id"), F.col(c.name).alias("passed"), cells(names, "double").alias("values"),
+        cells(words, "string").alias("words"), (F.col(at) if at else F.lit(None)).cast("date").alias("at"))
+        for i, (c, names, words, at) in enumerate(plans)]).alias("evidence"))

@@ -72,8 +72,10 @@ def drawdowns(curves: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_w.at").alias("trough_day"))
 
 
-def member_performance(curves: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
-    """Per member: end price, return, renormalised weight, contribution, drawdown."""
+def member_performance(curves: DataFrame, cost_pct: float = COST_PCT, line: DataFrame | None = None) -> DataFrame:
+    """Per member: end price, return, renormalised weight, contribution, drawdown; with the
+    cohorts' ``line`` (``cohort_curves``) also the return beyond the baseline's, gross and net of
+    the costs that both bear."""
     end = curves.filter(F.col("at") == F.col("end_day"))
     total = Window.partitionBy("cohort_id")
     share = F.col("weight") / F.nullif(F.sum("weight").over(total), F.lit(0.0))
@@ -81,6 +83,12 @@ def member_performance(curves: DataFrame, cost_pct: float = COST_PCT) -> DataFra
     rows = end.select("cohort_id", "symbol", "weight", share.alias("share"), "entry_price",
                       F.col("close").alias("end_price"), "stale", gross.alias("return_gross"),
                       (gross - cost_pct / 100).alias("return_net"))
+    if line is not None:
+        base = line.filter(F.col("at") == F.col("end_day")).select(
+            "cohort_id", (F.col("baseline") / 100 - 1).alias("_base"))
+        rows = rows.join(base, "cohort_id", "left").select(
+            *rows.columns, (F.col("return_gross") - F.col("_base")).alias("excess_gross"),
+            (F.col("return_net") - (F.col("_base") - cost_pct / 100)).alias("excess_net"))
     falls = drawdowns(curves, ["cohort_id", "symbol"])
     return rows.join(falls, ["cohort_id", "symbol"]).withColumn(
         "contribution_gross", F.col("share") * F.col("return_gross"))
@@ -102,7 +110,8 @@ def cohort_curves(curves: DataFrame, market: Market, gate: float = 0.0) -> DataF
         "baseline", 100 * F.exp(F.sum(F.log1p(move)).over(so_far))).drop("ret")
     if market.benchmark is None:
         return df.withColumn("benchmark", F.lit(None).cast("double"))
-    index = F.broadcast(market.benchmark.select("date", F.col("close").alias("_px")))
+    # one row per date whatever the table repeats: bounded by the calendar
+    index = F.broadcast(market.benchmark.groupBy("date").agg(F.max("close").alias("_px")))
     whole = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = F.coalesce(F.last("_px", ignorenulls=True).over(so_far),
                          F.first("_px", ignorenulls=True).over(whole))

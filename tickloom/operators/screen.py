@@ -1,7 +1,7 @@
 """Screens: conditions joined to a panel, matches, near misses and what follows
 from them."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,11 +11,10 @@ from pyspark.sql.window import Window
 
 from ..functions.asof import fill_calendar
 from ..functions.steps import Step, add_steps
-from ..functions.windows import lag, number_bars, so_far
+from ..functions.windows import number_bars, so_far
 from .conditions import Condition
 from .cross_section import breadth, rank_inputs, with_ranks
-from .indicators import (MIN_HISTORY, daily_book, pct_change, week_ending, weekly_bars,
-                         weekly_book)
+from .indicators import MIN_HISTORY, daily_book, pct_change, weekly_bars, weekly_book
 from .levels import level_steps
 
 
@@ -55,28 +54,29 @@ def combine(conditions: Sequence[Condition], logic: str = "AND") -> Column:
     return reduce((lambda a, b: a & b) if logic == "AND" else (lambda a, b: a | b), flags)
 
 
-def _weekly_flags(bars: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
-    """Weekly conditions as known on a daily bar: those of the week that ends on
-    the bar's date, else those of the symbol's week before."""
-    book = weekly_book()
+def _with_weekly(df: DataFrame, bars: DataFrame, conditions: Sequence[Condition],
+                 book: dict[str, Step] | None = None, values: Mapping[str, str] | None = None) -> DataFrame:
+    """Weekly conditions as known on a daily bar: those of the symbol's latest week whose Friday
+    isn't after the bar. ``values``: further columns, name -> column of the weekly panel.
+
+    A week's row is a struct that goes through the daily partitioning as a row of its own, before
+    the bars of its Friday, and stands until the next one: no join, and no second shuffle of the
+    bars by symbol."""
+    every = weekly_book()
     for c in conditions:
-        book |= c.steps()
+        every |= c.steps()
+    every |= book or {}
+    values = dict(values or {})
     names = [c.name for c in conditions]
-    weeks = add_steps(number_bars(weekly_bars(bars)), book, names)
-    return weeks.select("symbol", F.col("date").alias("_week"),
-                        *[F.col(n).alias(f"_{n}_own") for n in names],
-                        *[lag(n).alias(f"_{n}_prev") for n in names])
-
-
-def _join_weekly(df: DataFrame, bars: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
-    weeks = _weekly_flags(bars, conditions)
-    df = df.withColumn("_week", week_ending()).join(weeks, ["symbol", "_week"], "left")
-    ends_today = F.col("_week") == F.col("date")
-    flags = [F.coalesce(F.when(ends_today, F.col(f"_{c.name}_own"))
-                        .otherwise(F.col(f"_{c.name}_prev")), F.lit(False)).alias(c.name)
-             for c in conditions]
-    gone = [f"_{c.name}_{x}" for c in conditions for x in ("own", "prev")]
-    return df.select("*", *flags).drop("_week", *gone)
+    weeks = add_steps(number_bars(weekly_bars(bars)), every, [*names, *values.values()])
+    week = F.struct(*names, *[F.col(col).alias(out) for out, col in values.items()])
+    weeks = weeks.select("symbol", "date", F.lit(0).alias("_kind"), week.alias("_week"))
+    rows = df.withColumn("_kind", F.lit(1)).unionByName(weeks, allowMissingColumns=True)
+    so_far = (Window.partitionBy("symbol").orderBy("date", "_kind")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_week", F.last("_week", ignorenulls=True).over(so_far)).filter("_kind = 1")
+    flags = [F.coalesce(F.col(f"_week.{n}"), F.lit(False)).alias(n) for n in names]
+    return rows.select(*df.columns, *flags, *[F.col(f"_week.{out}").alias(out) for out in values])
 
 
 def _join_context(market: Market, needs: set[str]) -> DataFrame:
@@ -96,7 +96,7 @@ def _join_context(market: Market, needs: set[str]) -> DataFrame:
         df = df.join(F.broadcast(filled), "date", "left")
     if "breadth" in needs:
         gauge = breadth(market.bars, market.min_bars).select(
-            "date", F.col("pct_above_200dma").alias("_breadth"))
+            "date", F.col("pct_above_200dma").alias("_breadth"), F.col("pct_at_20d_high").alias("_breadth_high"))
         df = df.join(F.broadcast(gauge), "date", "left")
     return df
 
@@ -118,6 +118,8 @@ def screen_columns(conditions: Sequence[Condition], fields: Sequence[str] = (),
     if "breadth" in needs:
         book["pct_above_200dma"] = Step(("_breadth",), lambda: F.last(
             "_breadth", ignorenulls=True).over(so_far()))
+        book["pct_at_20d_high"] = Step(("_breadth_high",), lambda: F.last(
+            "_breadth_high", ignorenulls=True).over(so_far()))
     book |= more or {}
     inputs = [n.partition(":")[2] for n in needs if n.startswith("rank:")]
     inputs += [f"ret_{n.partition(':')[2]}" for n in needs if n.startswith("sector_rank:")]
@@ -126,12 +128,14 @@ def screen_columns(conditions: Sequence[Condition], fields: Sequence[str] = (),
 
 def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[str] = (),
             steps: dict[str, Step] | None = None, latest: bool = False,
-            extra_steps: dict[str, Step] | None = None) -> DataFrame:
+            extra_steps: dict[str, Step] | None = None, weekly_steps: dict[str, Step] | None = None,
+            weekly_values: Mapping[str, str] | None = None) -> DataFrame:
     """The panel with one boolean column per condition.
 
     All per-symbol columns share one shuffle by symbol; ranks add a shuffle by
     (date, value). ``fields`` and the names in ``steps`` are kept as well;
-    ``extra_steps`` only define what ``fields`` may name.
+    ``extra_steps`` only define what ``fields`` may name; ``weekly_values`` (name -> column of the
+    weekly panel, or of ``weekly_steps``) are kept as well.
     ``latest`` keeps the last bar of each symbol."""
     conditions = list(dict.fromkeys(conditions))
     needs = set().union(*[c.needs for c in conditions])
@@ -145,23 +149,23 @@ def signals(market: Market, conditions: Sequence[Condition], fields: Sequence[st
         after |= c.steps()
     df = _join_context(market, needs)
     if weekly:
-        df = _join_weekly(df, market.bars, weekly)
+        df = _with_weekly(df, market.bars, weekly, weekly_steps, weekly_values)
     df = add_steps(number_bars(df, market.min_bars), book, wanted)
     if latest:
         df = df.filter(F.col("bar_idx") == F.col("n_bars") - 1)
     keep = ["symbol", "date", "bar_idx", "n_bars", *(["industry"] if "universe" in needs else []),
-            *wanted, *[c.name for c in weekly]]
+            *wanted, *[c.name for c in weekly], *(weekly_values or {})]
     df = df.select(*dict.fromkeys(keep))
     df = with_ranks(df, needs, latest, market.bars)
     df = add_steps(df, after, [c.name for c in ranked])
     out = ["symbol", "date", "bar_idx", "n_bars", *(["industry"] if "universe" in needs else []),
-           *[c.name for c in conditions], *fields, *steps]
+           *[c.name for c in conditions], *fields, *steps, *(weekly_values or {})]
     return df.select(*dict.fromkeys(out))
 
 
 def _reads_rank(name: str) -> bool:
     """Columns that only exist once the ranks are joined."""
-    return name.endswith("_pctl") or name.startswith(("sector_rank_", "n_sectors_", "sector_ret_"))
+    return name.endswith("_pctl") or name.startswith(("sector_rank_", "n_sectors_", "sector_ret_", "sector_leaders_"))
 
 
 def liquid(gate: float) -> Column:
@@ -234,13 +238,17 @@ def for_display(df: DataFrame) -> DataFrame:
                            if c in df.columns})
 
 
-def screen_stats(evaluated: DataFrame) -> DataFrame:
-    """How many symbols were evaluated, matched and nearly matched."""
+def screen_stats(evaluated: DataFrame, gate: float = 0.0) -> DataFrame:
+    """How many symbols there are, the liquidity gate leaves out, were evaluated, matched and
+    nearly matched. ``evaluated``: ``evaluate`` without a gate."""
     near = F.col("conditions_passed") == F.col("conditions_total") - 1
+    liquid = F.coalesce(F.col("turnover_cr") >= gate, F.lit(False)) if gate else F.lit(True)
     return evaluated.agg(
-        F.count(F.lit(1)).alias("evaluated"),
-        F.count_if("matched").alias("matched"),
-        F.count_if(near & ~F.col("matched")).alias("near_misses"))
+        F.count(F.lit(1)).alias("universe"),
+        F.count_if(~liquid).alias("liquidity_excluded"),
+        F.count_if(liquid).alias("evaluated"),
+        F.count_if(liquid & F.col("matched")).alias("matched"),
+        F.count_if(liquid & near & ~F.col("matched")).alias("near_misses"))
 
 
 def sector_gap(universe: DataFrame, conditions: Sequence[Condition]) -> DataFrame:

@@ -443,7 +443,9 @@ def signal_ctes(conditions: Sequence[Condition], fields: Sequence[str] = (), gat
     if "breadth" in needs:
         ctes.append(f"gauge as ({breadth_select(last)})")
         ctes.append(f"with_gauge as (select p.*, last_value(g.pct_above_200dma ignore nulls) over "
-                    f"(partition by p.symbol order by p.date) as pct_above_200dma from {last} p "
+                    f"(partition by p.symbol order by p.date) as pct_above_200dma, "
+                    f"last_value(g.pct_at_20d_high ignore nulls) over (partition by p.symbol order by p.date) "
+                    f"as pct_at_20d_high from {last} p "
                     f"left join gauge g on g.date = p.date)")
         last = "with_gauge"
     if late:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.asof import as_of_rows, asof_join, calendar, fill_calendar
 from ..functions.ewm import ewm_steps, span_alpha
 from ..functions.ranks import places
+from ..functions.rolling import mean_steps
 from ..functions.steps import add_steps
 from ..functions.windows import by_symbol, number_bars
 from ..operators import cohorts as co
@@ -31,9 +32,13 @@ from ..operators.cross_section import breadth as breadth_series
 from ..operators.cross_section import return_step, with_ranks
 from ..operators.indicators import daily_book, panel, weekly_bars, weekly_panel
 from ..operators.levels import level_steps
-from ..schema import OHLCV, ROC_PERIODS, WEEKLY_FIELDS
+from ..schema import DAILY_FIELDS, OHLCV, ROC_PERIODS, UNIVERSES, WEEKLY_FIELDS
+from ..session import new_folder, written
 from ..sources import bars as src
+from ..sources import stores
 from ..sources.lineitem_bars import load_bars, load_universe, mean_close
+from ..sources.panels import PanelStore
+from ..sources.versions import Store
 from .catalogue import PRESETS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +129,10 @@ EVIDENCE_SCREEN = [
 RANK_EVIDENCE_SCREEN = [rs_percentile(">=", 60), rs_percentile(">=", 60, basis="mom_12_1"),
                         atr_pct_percentile("<=", 50), sector_rank(63, top=5),
                         breadth("positive")]
+WEEKLY_EVIDENCE_SCREEN = [
+    trend("up", timeframe="weekly"), compare("close", ">", "ema_20", timeframe="weekly"),
+    within("rsi", min=50, timeframe="weekly"), change("close", 4, ">", 3, timeframe="weekly"),
+    cross("ema_10", "ema_20", "above", 3, timeframe="weekly"), sector(SECTORS)]
 NEAR_SCREEN = [trend("up"), within("rsi", min=50), volume_spike(1.0),
                within("pct_from_52w_high", min=-5)]
 STUDY_SCREENS = {
@@ -284,10 +293,6 @@ def q_universe_curated(spark, folder):
         u.filter(F.col("industry").isin(*SECTORS)).select("symbol"))
 
 
-def q_benchmark(spark, folder):
-    return rounded(mean_close(load_bars(spark, folder)))
-
-
 def q_benchmark_filled(spark, folder):
     """Month-start benchmark values carried onto every date."""
     bars = load_bars(spark, folder)
@@ -349,8 +354,8 @@ def q_asof_rows(spark, folder):
 
 
 # ---------------------------------------------------------------- screens
-def _evaluated(spark, folder, conditions=NEAR_SCREEN, **kw):
-    return sc.evaluate(market(spark, folder), conditions, as_of=AS_OF, gate=GATE, **kw)
+def _evaluated(spark, folder, as_of=None, gate=GATE):
+    return sc.evaluate(market(spark, folder), NEAR_SCREEN, as_of=as_of, gate=gate)
 
 
 def _display(df: DataFrame) -> DataFrame:
@@ -358,7 +363,13 @@ def _display(df: DataFrame) -> DataFrame:
 
 
 def q_match_table(spark, folder):
-    return _display(sc.matches(_evaluated(spark, folder), None))
+    """On a past date."""
+    return _display(sc.matches(_evaluated(spark, folder, AS_OF), None))
+
+
+def q_shown_matches(spark, folder):
+    """The match table of the latest bars as a reader sees it."""
+    return sc.for_display(sc.matches(_evaluated(spark, folder)).drop(*[c.name for c in NEAR_SCREEN]))
 
 
 def q_top_matches(spark, folder):
@@ -370,7 +381,7 @@ def q_near_misses(spark, folder):
 
 
 def q_screen_stats(spark, folder):
-    return sc.screen_stats(_evaluated(spark, folder))
+    return sc.screen_stats(_evaluated(spark, folder, gate=0.0), GATE)
 
 
 def q_sector_gap(spark, folder):
@@ -429,10 +440,11 @@ def _flat_evidence(df: DataFrame, names: dict[int, tuple[str, ...]]) -> DataFram
     widest = max(len(v) for v in names.values())
     label = lambda j: F.create_map(*[x for i, v in names.items() for x in (
         F.lit(i), F.lit(v[j] if j < len(v) else None))])[F.col("e.cond_id")]
+    words = F.transform(F.array_sort(F.map_entries("e.words")), lambda w: F.concat(w["key"], F.lit("="), w["value"]))
     return e.select(
         "symbol", "date", "e.cond_id", "e.passed", "e.at",
         *[F.round(F.try_element_at("e.values", label(j)), 6).alias(f"v{j + 1}")
-          for j in range(widest)])
+          for j in range(widest)], F.array_join(words, ";").alias("words"))
 
 
 def q_evidence(spark, folder):
@@ -447,6 +459,84 @@ def q_rank_evidence(spark, folder):
     return _flat_evidence(df, names)
 
 
+def q_weekly_evidence(spark, folder):
+    df = evidence.explain(market(spark, folder), WEEKLY_EVIDENCE_SCREEN, latest=False)
+    names = {i: tuple(evidence.evidence_steps(c)[1]) for i, c in enumerate(WEEKLY_EVIDENCE_SCREEN)}
+    return _flat_evidence(df, names)
+
+
+# ---------------------------------------------------------------- kept tables
+def kept_panel(spark, folder) -> PanelStore:
+    """A panel that is kept over two commits: early bars, one month of them wrong for some symbols;
+    then the days that follow together with the corrections, sent twice."""
+    bars = load_bars(spark, folder)
+    store = PanelStore(spark, new_folder(spark, "panel"))
+    late = (F.date_format("date", "yyyy-MM") == "1996-03") & F.col("symbol").endswith("7")
+    early = F.col("date") < "1996-07-01"
+    store.extend(bars.filter(early & ~late).unionByName(scaled(bars.filter(late), 1.1)), "daily", 1)
+    for _ in range(2):
+        store.extend(bars.filter(~early | late), "daily", 2)
+    return store
+
+
+KEPT_FIELDS = ("open", "close", "ema_10", "ema_200_slope", "sma_200", "rsi", "atr_pct", "adx_slope", "macd_hist", "bb_width_pct",
+               "stoch_d", "vol_ratio", "high_52w", "pct_from_52w_low", "mom_12_1")
+
+
+def q_kept_panel(spark, folder):
+    return rounded(kept_panel(spark, folder).panel().select("symbol", "date", *KEPT_FIELDS))
+
+
+def q_kept_match_table(spark, folder):
+    """The match table of a past date from the months of a kept panel that it reaches."""
+    store = PanelStore(spark, new_folder(spark, "panel"))
+    store.extend(load_bars(spark, folder), "daily", 1)
+    m = store.market(NEAR_SCREEN, sc.METRICS, as_of=AS_OF, universe=load_universe(spark, folder))
+    return _display(sc.matches(sc.evaluate(m, NEAR_SCREEN, gate=GATE)))
+
+
+def q_read_bars(spark, folder):
+    """Bars written as a store's files and read from them."""
+    path = new_folder(spark, "bars")
+    load_bars(spark, folder).write.parquet(path)
+    return src.read_bars(spark, path)
+
+
+def q_benchmark(spark, folder):
+    path = new_folder(spark, "benchmark")
+    mean_close(load_bars(spark, folder)).write.parquet(path)
+    return rounded(src.read_benchmark(spark, path))
+
+
+def q_kept_runs(spark, folder):
+    """Matches of two runs, kept; the second run is sent twice."""
+    runs = Store(spark, new_folder(spark, "runs"))
+    df = sc.evaluate(market(spark, folder), PRESETS["tsmom_regime"])
+    first = sc.evaluate(market(spark, folder), PRESETS["tsmom_regime"], as_of=AS_OF)
+    for number, found, ts in ((1, first, "1997-06-30"), (2, df, "1998-12-31"), (2, df, "1998-12-31")):
+        stores.keep_run(runs, stores.run_record(found, "tsmom_regime", ts, ts), number)
+    return rounded(stores.kept_runs(runs, "tsmom_regime"))
+
+
+def q_kept_milestones(spark, folder):
+    """Milestones frozen in two steps; what is frozen stays as it is, also when it is sent again
+    with other figures."""
+    store = Store(spark, new_folder(spark, "milestones"))
+    rows = written(_milestones(spark, folder)[3])
+    stores.freeze_milestones(store, rows.filter("horizon = 5"), 1)
+    stores.freeze_milestones(store, rows.withColumn("net", F.when(F.col("horizon") == 5, 0.0).otherwise(F.col("net"))), 2)
+    stores.freeze_milestones(store, rows, 2)
+    return rounded(stores.kept_milestones(store).select("cohort_id", "horizon", "n_symbols", "n_stale", "gross", "net"))
+
+
+def q_gated_universes(spark, folder):
+    """Symbols whose median turnover reaches the gate of each universe, scaled to these bars."""
+    last = sc.signals(market(spark, folder), [FLAGSHIP[0]], ["median_turnover"], latest=True)
+    gates = spark.createDataFrame(UNIVERSES, "universe_id string, gate double")
+    return last.crossJoin(F.broadcast(gates)).groupBy("universe_id").agg(
+        F.count_if(F.col("median_turnover") >= F.col("gate") / 5).alias("liquid"))
+
+
 # ---------------------------------------------------------------- event study
 def _study(spark, folder):
     return es.events(market(spark, folder), STUDY_SCREENS, gate=GATE)
@@ -627,19 +717,22 @@ END = dt.date(1996, 12, 31)
 
 def q_equity_curves(spark, folder):
     m, cohorts, members = _entered(spark, folder)
-    curves = performance.symbol_curves(cohorts, members, m, END)
+    curves = performance.symbol_curves(cohorts, members, m)
     return rounded(performance.cohort_curves(curves, m).select(
         "cohort_id", "date", "curve", "baseline", "benchmark"))
 
 
 def q_member_performance(spark, folder):
     m, cohorts, members = _entered(spark, folder)
-    df = performance.member_performance(performance.symbol_curves(cohorts, members, m, END))
+    curves = performance.symbol_curves(cohorts, members, m)
+    df = performance.member_performance(curves, line=performance.cohort_curves(curves, m))
     return rounded(df.select("cohort_id", "symbol", "share", "entry_price", "end_price", "stale",
-                             "return_gross", "return_net", "contribution_gross", "max_drawdown"))
+                             "return_gross", "return_net", "excess_gross", "excess_net",
+                             "contribution_gross", "max_drawdown"))
 
 
 def q_performance(spark, folder):
+    """Up to a past date."""
     m, cohorts, members = _entered(spark, folder)
     return rounded(performance.performance(cohorts, members, m, END))
 
@@ -744,10 +837,19 @@ def q_ema_gaps(spark, folder):
                    .select("symbol", "date", "ema_10", "ema_50"))
 
 
+def q_any_width(spark, folder):
+    """Widths and smoothing factors beside the usual ones."""
+    book = ewm_steps("ema_5", "close", span_alpha(5), 5) | ewm_steps("ema_2", "close", span_alpha(2), 2)
+    for n in (7, 33):
+        book |= mean_steps(f"sma_{n}", "close", n)
+    names = ("ema_5", "ema_2", "sma_7", "sma_33")
+    return rounded(add_steps(number_bars(load_bars(spark, folder), 60), book, names).select("symbol", "date", *names))
+
+
 def registered() -> dict[str, Query]:
     out: dict[str, Query] = {
         "flagship": q_flagship,
-        "read_bars": load_bars,
+        "read_bars": q_read_bars,
         "clean_bars": q_clean_bars,
         "upsert_bars": q_upsert_bars,
         "replace_symbols": q_replace_symbols,
@@ -776,6 +878,7 @@ def registered() -> dict[str, Query]:
         "breadth": q_breadth,
         "asof_universe_rows": q_asof_rows,
         "screen_match_table": q_match_table,
+        "screen_shown_matches": q_shown_matches,
         "screen_top_matches": q_top_matches,
         "screen_near_misses": q_near_misses,
         "screen_stats": q_screen_stats,
@@ -789,6 +892,14 @@ def registered() -> dict[str, Query]:
         "screen_watchlist": q_watchlist,
         "evidence": q_evidence,
         "evidence_ranks": q_rank_evidence,
+        "evidence_weekly": q_weekly_evidence,
+        "panel_all_fields": _panel_query(DAILY_FIELDS),
+        "kept_panel": q_kept_panel,
+        "kept_match_table": q_kept_match_table,
+        "kept_runs": q_kept_runs,
+        "kept_milestones": q_kept_milestones,
+        "gated_universes": q_gated_universes,
+        "indicator_any_width": q_any_width,
         "forward_returns": q_forward_returns,
         "event_baseline": q_baseline,
         "daily_baseline": q_daily_baseline,

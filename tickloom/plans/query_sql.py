@@ -6,8 +6,9 @@ from . import queries as q
 from .catalogue import PRESETS
 from .check_sql import (BARS, W, WEEKLY_BARS, breadth_select, chain, combined, condition_fields,
                         daily_fields, gated, panel_sql, signal_bars_sql, signal_ctes, statement,
-                        tail, weekly_panel_sql)
-from ..schema import WEEKLY_FIELDS
+                        tail, weekly_fields, weekly_panel_sql)
+from ..operators.screen import DISPLAY_DECIMALS
+from ..schema import DAILY_FIELDS, UNIVERSES, WEEKLY_FIELDS
 
 B = BARS.strip()
 OHLC = ("open", "high", "low", "close")
@@ -107,8 +108,8 @@ METRIC_COLS = ("symbol, name, industry, date, conditions_passed, conditions_tota
                    "ret_3m_pct", "pct_from_52w_high", "turnover_cr"))
 
 
-def screen_sql(select: str) -> str:
-    return statement(evaluated(q.NEAR_SCREEN, as_of=str(q.AS_OF), gate=q.GATE), select)
+def screen_sql(select: str, as_of: str | None = None, gate: float = q.GATE) -> str:
+    return statement(evaluated(q.NEAR_SCREEN, as_of=as_of, gate=gate), select)
 
 
 def fields_sql(fields, select: str, extra=None) -> str:
@@ -182,7 +183,8 @@ def evidence_values(c: Condition) -> tuple[dict, list[str], str | None]:
                 f"{n}_m": ((f"{n}_d",), f"min({n}_d) {tail(w)}"),
                 f"{n}_at": ((f"{n}_d",), f"arg_min(date, {n}_d) {tail(w)}")}, [f"{n}_m"], f"{n}_at"
     if k == "trend":
-        return {}, ["close", "ema_50", "ema_200", "ema_50_slope"], None
+        return {}, ["close", *(("ema_20", "ema_40", "ema_20_slope") if c.weekly
+                               else ("ema_50", "ema_200", "ema_50_slope"))], None
     if k == "support_at_ma":
         m = c["ma"]
         return {f"{n}_d": ((m,), f"case when low < {m} then 0 else abs(low-{m})/{m}*100 end"),
@@ -224,6 +226,7 @@ def evidence_values(c: Condition) -> tuple[dict, list[str], str | None]:
             return f"case when len({n}_l) >= 2 then {n}_l[{j}].{part} end"
         return {f"{n}_p1": ((f"{n}_l",), p(-2, "p")), f"{n}_o1": ((f"{n}_l",), p(-2, "o")),
                 f"{n}_p2": ((f"{n}_l",), p(-1, "p")), f"{n}_o2": ((f"{n}_l",), p(-1, "o")),
+                f"{n}_first": ((f"{n}_l",), f"i - {p(-2, 'at')}"),
                 f"{n}_back": ((f"{n}_l",), f"i - {p(-1, 'at')}"),
                 f"{n}_at": ((f"{n}_back",), f"case when {n}_back is not null then "
                             f"list(date) {tail(60)} end")}, \
@@ -257,23 +260,55 @@ def _evidence_sql() -> str:
     for i, (c, values, at) in enumerate(plans):
         cols = [f"round(cast({v} as double), 6) as v{j + 1}" for j, v in enumerate(values)]
         cols += [f"null::double as v{j + 1}" for j in range(len(values), widest)]
+        words = f"coalesce('first_date=' || ({c.name}_at[-1 - {c.name}_first])::date, '')" if c.kind == "divergence" else "''"
         rows.append(f"select symbol, date, {i} as cond_id, {c.name} as passed, "
-                    f"{at or 'null'}::date as at, {', '.join(cols)} from {last} where i = n - 1")
+                    f"{at or 'null'}::date as at, {', '.join(cols)}, {words} as words from {last} where i = n - 1")
     return statement([B, *ctes], " union all ".join(rows))
 
 
+def _weekly_evidence_sql() -> str:
+    """Weekly values of a symbol's latest week whose Friday isn't after the bar."""
+    conds = [c for c in q.WEEKLY_EVIDENCE_SCREEN if c.weekly]
+    f, wanted, plans = weekly_fields(), [], []
+    for c in conds:
+        extra, values, at = evidence_values(c)
+        f |= condition_fields(c) | extra
+        wanted += [c.name, *values, *([at] if at else []), *extra]
+        plans.append((c, values, at))
+    ctes, last = chain("weekly_bars", "w", f, dict.fromkeys(wanted), 0)
+    widest = max(len(v) for _, v, _ in plans)
+    rows = []
+    for i, (c, values, at) in enumerate(plans):
+        cols = [f"round(cast(w.{v} as double), 6) + 0.0 as v{j + 1}" for j, v in enumerate(values)]
+        cols += [f"null::double as v{j + 1}" for j in range(len(values), widest)]
+        rows.append(f"select b.symbol, b.date, {i} as cond_id, coalesce(w.{c.name}, false) as passed, "
+                    f"{f'w.{at}' if at else 'null'}::date as at, {', '.join(cols)}, '' as words from deep b asof left join "
+                    f"{last} w on w.symbol = b.symbol and w.date <= b.date")
+    names = ", ".join(f"'{x}'" for x in q.SECTORS)
+    rows.append(f"select b.symbol, b.date, {len(plans)} as cond_id, coalesce(industry in ({names}), false) as passed, null::date "
+                f"as at, {', '.join(f'null::double as v{j + 1}' for j in range(widest))}, coalesce('sector=' || industry, '') as "
+                "words from deep b left join universe u on u.symbol = b.symbol")
+    deep = "deep as materialized (select symbol, date from (select *, count(*) over (partition by symbol) as n from bars) where n >= 60)"
+    return statement([B, WEEKLY_BARS, deep, *ctes], " union all ".join(rows))
+
+
 def _rank_evidence_sql() -> str:
     conds = q.RANK_EVIDENCE_SCREEN
     ctes, last = signal_ctes(conds, ["mom_12_1", "atr_pct"])
     values = [("ret_63", "ret_63_pctl"), ("mom_12_1", "mom_12_1_pctl"),
               ("atr_pct", "atr_pct_pctl"), ("sector_rank_63", "n_sectors_63", "sector_ret_63"),
-              ("pct_above_200dma",)]
+              ("pct_above_200dma", "pct_at_20d_high")]
+    ctes.append("lead3 as (select d, string_agg(industry || ' (' || printf('%.2f', sector_ret_63) || '%)', ', ' order by "
+                "sector_ret_63 desc, industry) as leaders from (select *, row_number() over (partition by d order by "
+                "sector_ret_63 desc, industry) as k from sr_63) where k <= 3 group by d)")
     rows = []
     for i, (c, vals) in enumerate(zip(conds, values)):
         cols = [f"round(cast({v} as double), 6) as v{j + 1}" for j, v in enumerate(vals)]
         cols += [f"null::double as v{j + 1}" for j in range(len(vals), 3)]
+        words = ("coalesce(concat_ws(';', case when n_sectors_63 is not null then 'leaders=' || leaders end, 'sector=' || industry), '')"
+                 if c.kind == "sector_rank" else "''")
         rows.append(f"select symbol, date, {i} as cond_id, {c.name} as passed, null::date as at, "
-                    f"{', '.join(cols)} from {last}")
+                    f"{', '.join(cols)}, {words} as words from {last} left join lead3 on lead3.d = {last}.date")
     return statement(ctes, " union all ".join(rows))
 
 
@@ -388,6 +423,34 @@ def _ema_gaps_sql() -> str:
         f"select g.symbol, g.date, {shown} from gaps g join walk w on w.s = g.symbol and w.at = g.i")
 
 
+def _any_width_sql() -> str:
+    extra = {f"ema_{n}": (("close",), ("ewm", "close", f"2.0/{n + 1}", n)) for n in (5, 2)}
+    extra |= {f"sma_{n}": (("close",), f"case when count(close) {tail(n)} >= {n} then avg(close) {tail(n)} end") for n in (7, 33)}
+    return fields_sql([*extra], f"select symbol, date, {r(*extra)} from {{p}}", extra)
+
+
+def _kept_runs_sql() -> str:
+    """Matches of the newest bars, and those of the bars up to a date."""
+    conds = PRESETS["tsmom_regime"]
+    f = daily_fields()
+    for c in conds:
+        f |= condition_fields(c)
+    ctes, selects = [B], []
+    for k, (ts, where) in enumerate((("1997-06-30", f"where date <= date '{q.AS_OF}'"), ("1998-12-31", ""))):
+        more, last = chain(f"bars_{k}", f"r{k}_", f, [c.name for c in conds], 0)
+        ctes += [f"bars_{k} as materialized (select * from bars {where})", *more]
+        selects.append(f"select 'tsmom_regime' as screen_id, '{ts}' as ts, '{ts}' as as_of, symbol, round(close, 6) as close "
+                       f"from {last} where i = n - 1 and {combined(conds)} and symbol in (select symbol from bars group by 1 "
+                       "having count(*) >= 60)")
+    return statement(ctes, " union all ".join(selects))
+
+
+def _gated_sql() -> str:
+    rows = " union all ".join(f"select '{u}' as universe_id, {g} as gate" for u, g in UNIVERSES)
+    return fields_sql(["median_turnover"], f"select universe_id, count(*) filter (median_turnover >= gate/5) as liquid "
+                                           f"from (select * from {{p}} where i = n - 1) cross join ({rows}) group by 1")
+
+
 def _sensitivity_sql() -> str:
     screens = variants(q.GRID_SCREEN)
     ctes = event_ctes(screens, 0.0, horizons=(20,))
@@ -557,10 +620,15 @@ def _retirement_sql() -> str:
    from mile join entered using (cohort_id) where mode = 'forward' and horizon = 20)""")
 
 
+def perf_ctes(end: object = None) -> str:
+    """Curves from entry to the last day, or the last one at or before ``end``."""
+    return PERF.replace("from cal where date <= date 'END'", f"from cal where date <= date '{end}'" if end else "from cal")
+
+
 PERF = f"""perf as materialized (select m.cohort_id, m.symbol, m.weight, m.entry_price, c.day, c.date,
     b.close, s.day as start_day, e.day as end_day, m.last_date < e.date as stale
   from ent m join cal s on s.date = m.entry_date
-  join (select date, day from cal where date <= date '{q.END}' order by date desc limit 1) e
+  join (select date, day from cal where date <= date 'END' order by date desc limit 1) e
     on e.date > m.entry_date
   join cal c on c.day between s.day and e.day
   asof join bars b on b.symbol = m.symbol and b.date <= c.date
@@ -599,7 +667,7 @@ def _performance_sql() -> str:
    avg(cast(curve/100 - 1 > 0 as int)) as hit_rate_positive,
    avg(cast(curve/100 - 1 > base as int)) as hit_rate_vs_baseline
    from curves join ends using (cohort_id) where day = end_day group by 1) using (cohort_id)""",
-                      PERF, *drawdown_ctes("line", "cohort_id", "dd"),
+                      perf_ctes(q.END), *drawdown_ctes("line", "cohort_id", "dd"),
                       """mv as (select *, curve/lag(curve) over (partition by cohort_id order by day) - 1
                          as ret1 from idx)""",
                       """ends as materialized (select cohort_id, any_value(end_day - start_day + 1) as n_bars,
@@ -747,14 +815,21 @@ def statements() -> dict[str, str]:
         "asof_universe_rows": sql(select="""select d.date as as_of, b.symbol, b.date, b.close from (select
  distinct date from bars) d join (select distinct symbol as s from bars) on true
  asof join bars b on b.symbol = s and b.date <= d.date"""),
-        "screen_match_table": screen_sql(f"select {METRIC_COLS} from ev where matched"),
+        "screen_match_table": screen_sql(f"select {METRIC_COLS} from ev where matched", str(q.AS_OF)),
+        "kept_match_table": screen_sql(f"select {METRIC_COLS} from ev where matched", str(q.AS_OF)),
+        "screen_shown_matches": screen_sql(
+            "select symbol, name, industry, date, conditions_passed, conditions_total, matched, "
+            + ", ".join(f"round_even({x}, {d}) as {x}" for x, d in DISPLAY_DECIMALS.items())
+            + " from ev where matched"),
         "screen_top_matches": screen_sql("select symbol, round(ret_3m_pct, 6) as ret_3m_pct from ev where "
                                          "matched order by ret_3m_pct desc nulls last, symbol limit 10"),
         "screen_near_misses": screen_sql(f"select {METRIC_COLS} from ev where conditions_passed = "
                                          "conditions_total - 1"),
-        "screen_stats": screen_sql("select count(*) as evaluated, count(*) filter (matched) as matched, "
-                                   "count(*) filter (conditions_passed = conditions_total - 1 and not "
-                                   "matched) as near_misses from ev"),
+        "screen_stats": screen_sql(
+            f"select count(*) as universe, count(*) filter (not ok) as liquidity_excluded, count(*) filter (ok) as "
+            "evaluated, count(*) filter (ok and matched) as matched, count(*) filter (ok and not matched and "
+            "conditions_passed = conditions_total - 1) as near_misses from (select *, "
+            f"coalesce(turnover_cr >= {q.GATE}, false) as ok from ev)", gate=0.0),
         "screen_sector_gap": sql(select="select true as needs_sector, count(industry) as "
                                         "symbols_with_sector, count(industry) = 0 as gap from universe"),
         "screen_recent_bars": fields_sql(
@@ -776,6 +851,13 @@ def statements() -> dict[str, str]:
         "screen_watchlist": _watchlist_sql(),
         "evidence": _evidence_sql(),
         "evidence_ranks": _rank_evidence_sql(),
+        "evidence_weekly": _weekly_evidence_sql(),
+        "panel_all_fields": panel_sql(DAILY_FIELDS),
+        "kept_panel": panel_sql(q.KEPT_FIELDS),
+        "kept_runs": _kept_runs_sql(),
+        "kept_milestones": mile_sql("select cohort_id, horizon, n_symbols, n_stale, " + r("gross", "net") + " from mile"),
+        "gated_universes": _gated_sql(),
+        "indicator_any_width": _any_width_sql(),
         "event_baseline": with_bars(baseline_ctes(q.GATE), "select date, horizon, round(baseline, 6) as "
                                                            "baseline from fb_base"),
         "daily_baseline": fields_sql(
@@ -830,13 +912,15 @@ def statements() -> dict[str, str]:
         "cohort_scorecard": _scorecard_sql(),
         "cohort_retirement": _retirement_sql(),
         "equity_curves": cohort_sql("select cohort_id, date, " + r("curve", "baseline", "benchmark")
-                                    + " from idx", PERF),
+                                    + " from idx", perf_ctes()),
         "member_performance": cohort_sql(
             "select cohort_id, symbol, " + r("share", "entry_price", "close as end_price") + ", stale, "
-            + r("ret as return_gross", "ret - 0.3::double/100 as return_net", "share*ret as contribution_gross",
+            + r("ret as return_gross", "ret - 0.3::double/100 as return_net", "ret - base as excess_gross",
+                "ret - base as excess_net", "share*ret as contribution_gross",
                 "max_drawdown") + " from (select *, weight/sum(weight) over (partition by cohort_id) as "
-            "share, curve/100 - 1 as ret from curves where day = end_day) join mdd using (cohort_id, symbol)",
-            PERF, *drawdown_ctes("curves", "cohort_id, symbol", "mdd")),
+            "share, curve/100 - 1 as ret from curves where day = end_day) join mdd using (cohort_id, symbol) "
+            "left join (select cohort_id, baseline/100 - 1 as base from idx where day = end_day) using (cohort_id)",
+            perf_ctes(), *drawdown_ctes("curves", "cohort_id, symbol", "mdd")),
         "cohort_performance": _performance_sql(),
         "check_missing_symbols": sql(SUSPECT, select="select symbol from universe where symbol not in "
                                                      "(select symbol from store)"),
@@ -854,7 +938,7 @@ def statements() -> dict[str, str]:
             "close_a", "close_b", "pct_diff") + " from diff"),
         "check_run_log": RUN_LOG,
         "check_report": with_bars(
-            [SUSPECT, DIFF.replace("from bars a", "from store a"), *spot_ctes("store")], "select check_name, status, bad from (" + " union all ".join(
+            [SUSPECT, DIFF.replace("from bars a", "from (select symbol, date, max(close) as close from store group by 1, 2) a"), *spot_ctes("store")], "select check_name, status, bad from (" + " union all ".join(
                 [*CHECKS.values(), BENCH_CHECK.format(d="1998-12-03"), SPOT, CROSS_CHECK]) + ")"),
     }
     for name, select in CHECKS.items():

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.steps import add_steps, reach
-from ..functions.windows import BLOCK, lead
+from ..functions.windows import BLOCK, by_symbol, lead
 from ..operators.conditions import Condition
 from ..operators.indicators import MIN_HISTORY, SMOOTHED, daily_book
 from ..operators.screen import Market, screen_columns
@@ -176,7 +176,7 @@ class PanelStore:
     def _computed(self, run: DataFrame, changed: DataFrame) -> DataFrame:
         """Rows of the changed months: panel columns, part, and ``_state`` on the last bar of a
         symbol's month. ``run``: the symbols' bars from their marks on."""
-        run = run.join(changed.select("symbol", "since", "_seed"), "symbol")
+        run = by_symbol(run).join(changed.select("symbol", "since", "_seed"), "symbol")
         at = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1
         run = run.withColumn("bar_idx", (at + F.coalesce("_seed.pos", F.lit(0))).cast("int"))
         run = run.withColumn("_blk", F.floor(F.col("bar_idx") / BLOCK)).withColumn("_next", lead("date"))
