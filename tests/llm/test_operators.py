@@ -1,6 +1,8 @@
 import base64
 import collections
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -157,6 +159,57 @@ def test_licences(docs, rows, none):
     assert licences.scan(none).count() == 0
 
 
+def licences_by_hand(text):
+    """Places of the base phrases, and (template, first, last) of every block that reaches it."""
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    every = low(text or "")
+    places = [(i, label) for phrase, label in licences.PHRASES for i in range(len(every))
+              if every[i:i + len(phrase.split())] == phrase.split()]
+    spans, run, at = set(), [], 0
+    for line in [*(text or "").split("\n"), ""]:
+        n = len(low(line))
+        if n:
+            spans.add((at, at + n))
+            run.append((at, at + n))
+        elif run:
+            spans.add((run[0][0], run[-1][1]))
+            run = []
+        at += n
+    found = set()
+    for name, template in licences.TEMPLATES.items():
+        words = set(low(template))
+        for a, b in spans:
+            if len(set(every[a:b]) & words) >= max(1, math.ceil(licences.THRESHOLD * len(words) - 1e-9)):
+                found.add((name, a, b))
+    return places, found
+
+
+def test_no_licence_is_missed(spark, docs, rows):
+    r = random.Random(3)
+    texts = [t for _, t in rows]
+    for template in licences.TEMPLATES.values():
+        words = template.split()
+        for keep in (1.0, 0.95, 0.9, 0.8):
+            some = [w for w in words if r.random() < keep]
+            r.shuffle(some)
+            cut = r.randrange(len(some) + 1)
+            texts.append(prose(r.randrange(99), 9) + "\n\n" + " ".join(some[:cut]) + "\n" + " ".join(some[cut:]).upper() + "\n \nend")
+    texts.append(("MIT License " + prose(5, 3000) + "\n") * 60)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in licences.scan(frame).collect()}
+    for d, text in enumerate(texts):
+        places, found = licences_by_hand(text)
+        x = got[d]
+        assert {(b.template, b["first"], b["last"]) for b in x.blocks} == found
+        assert (x.n_base, x.first_word, x.last_word) == (len(places), min(places)[0] if places else None,
+                                                        max(places)[0] if places else None)
+        assert x.base_labels == sorted({p[1] for p in places})
+        assert x.labels == sorted({p[1] for p in places} | {f[0] for f in found})
+    none_known = {x.doc_id: x for x in licences.scan(frame, templates={}).collect()}
+    assert all(x.labels == x.base_labels == got[d].base_labels and x.score == 0 for d, x in none_known.items())
+    assert all(x.n_base == 0 for x in licences.scan(frame, phrases=[("", "x"), ("--", "y")], templates={"empty": "-"}).collect())
+
+
 def test_archives_round_trip(spark):
     pages = [(i, f"http://h/{i}\r\nX: y", h) for i, h in enumerate(["a" * 500, "b", "a" * 500, None, "", "é\r\n\r\n" * 9, "b", "c" * 100_000])]
     pages += [(7, "http://h/7", "c" * 100_000), (None, None, "b")]
@@ -203,6 +256,14 @@ def test_rollups(spark, docs, rows):
     store.compact("all")
     assert held() == {k: v for k, v in want.items() if v} and not store.commit("out", changes(gone, "v", "n_tokens", -1))
     assert Rollups(spark, store.folder).committed().keys() == {"all"}
+    # a name that is known already would cover itself
+    for name in ("all", "in"):
+        with pytest.raises(ValueError):
+            store.compact(name)
+    with pytest.raises(ValueError):
+        store.commit("all", changes(gone, "v", "n_tokens", 1))
+    store.compact("again")
+    assert held() == {k: v for k, v in want.items() if v}
 
 
 def test_parities_and_codes_bound_differences():

@@ -55,7 +55,7 @@ def hashes_of(text: str) -> np.ndarray:
 def _places(w, hashes: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Words at which the phrase starts, within one text."""
     n = len(hashes) - len(phrase) + 1
-    if n <= 0:
+    if n <= 0 or not len(phrase):
         return np.zeros(0, np.int64)
     at = np.flatnonzero(hashes[:n] == phrase[0])
     for i in range(1, len(phrase)):
@@ -83,6 +83,8 @@ def blocks(w) -> tuple[np.ndarray, np.ndarray]:
 
 def known_words(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Place of each hash in the sorted vocabulary, -1 if it isn't there."""
+    if not len(vocabulary):
+        return np.full(len(hashes), -1)
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     return np.where(vocabulary[at] == hashes, at, -1)
 
@@ -103,6 +105,8 @@ class Join:
 
     def matches(self, word: np.ndarray, first: np.ndarray, last: np.ndarray):
         """(block, template, share) of all that reach the threshold; word: ranks or -1."""
+        if not self.sets:
+            return []
         use = np.r_[0, np.cumsum((word >= 0) & (self.prefix_at[word + 1] > self.prefix_at[word]))]
         some = np.flatnonzero((use[last] > use[first]) & (last - first >= self.need.min()))
         size = last[some] - first[some]
@@ -151,6 +155,8 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.record_batch({"word": some, "n": total[some]})
 
     out = np.zeros(len(vocabulary), np.int64)
+    if not len(out):
+        return out
     for r in docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r["word"]] = r["n"]
     return out
@@ -162,11 +168,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates: Mapping[str, str] = TEMPLA
     least and greatest start, null without), base_labels, labels (with the templates' names),
     score (the greatest share of a template that reached the threshold, else 0) and blocks.
 
-    Null and empty texts have no words and no labels. Repeated rows are scanned each;
+    Null and empty texts have no words and no labels. Without templates only phrases are found; a
+    phrase or template without words is found nowhere. Repeated rows are scanned each;
     further columns are not read."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = {k: np.unique(hashes_of(v)) for k, v in templates.items()}
-    vocabulary = np.unique(np.concatenate(list(sets.values())))
+    sets = {k: h for k, h in ((k, np.unique(hashes_of(v))) for k, v in templates.items()) if len(h)}
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]))
     if len(vocabulary) > MOST_WORDS:
         raise ValueError(f"the templates have {len(vocabulary)} words, {MOST_WORDS} at most")
     join = Join(sets, vocabulary, word_counts(docs, vocabulary), threshold)
@@ -183,7 +190,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates: Mapping[str, str] = TEMPLA
                 first, last = blocks(w)
                 known = known_words(hashes, join.vocabulary)
                 found: dict[int, list] = {}
-                for b, t, share in join.matches(np.where(known >= 0, join.rank[known], -1), first, last):
+                for b, t, share in join.matches(np.where(known >= 0, join.rank[known], -1) if len(join.rank) else known, first, last):
                     d = int(doc[first[b]])
                     found.setdefault(d, []).append((join.names[t], int(first[b] - w.offsets[d]), int(last[b] - w.offsets[d]), share))
                 own: dict[int, list] = {}

@@ -85,6 +85,8 @@ class Rollups:
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch is named by letters, digits, - and _")
         if batch in self.known():
+            if self._mark(batch)["covers"]:
+                raise ValueError(f"{batch} is the name of a compaction")
             return False
         sums = rows.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"),
                                        F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
@@ -106,6 +108,13 @@ class Rollups:
         return (sums.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
                 .where("n_docs <> 0 or n_tokens <> 0"))
 
+    def _mark(self, batch: str) -> dict:
+        with self.store.open_input_stream(f"{self.path}/commits/{batch}.json") as stream:
+            return json.loads(stream.read())
+
     def compact(self, batch: str) -> None:
-        """Fold the committed batches into one; their names stay known."""
+        """Fold the committed batches into one of a new name; their names stay known. A name that
+        is known is refused: its sums would be replaced, and it would stand for itself."""
+        if batch in self.known():
+            raise ValueError(f"{batch} is committed already")
         self._write(batch, self.totals(), sorted(self.committed()))
