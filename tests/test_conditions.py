@@ -3,14 +3,15 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from bars import frame
+from bars import frame, walk
 from pyspark.sql import functions as F
 
 from tickloom.functions.steps import add_steps
-from tickloom.functions.windows import number_bars
+from tickloom.functions.windows import by_symbol, number_bars
 from tickloom.operators import conditions as c
 from tickloom.operators.levels import level_steps
-from tickloom.operators.screen import Market, combine, signal_bars, signals
+from tickloom.operators.screen import (Market, combine, evaluate, screen_stats, signal_bars,
+                                       signals)
 from tickloom.plans.catalogue import PRESETS
 
 
