@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import quality
-from tickloom.llm.minhash import near_duplicates
+from tickloom.llm.minhash import copies
 from tickloom.llm.mixing import mix
 from tickloom.llm.postings import bounded, contamination
 from tickloom.llm.queries import table
@@ -29,11 +29,11 @@ DROP = 1_000_000
 HASH = F.xxhash64("text")
 
 
-def without(docs: DataFrame, gone: DataFrame, by=("doc_id", "hash")) -> DataFrame:
-    """Documents without those that equal a row of ``gone`` in doc_id (null equals null) and,
-    where that is told, in the hash of the text."""
-    gone = bounded(settle(gone.select(*(F.col(c).alias(f"gone_{c}") for c in by)).distinct()), DROP)
-    same = " and ".join(f"{c} <=> gone_{c}" for c in by)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents without those that equal a row of ``gone`` in doc_id (null equals null) and in
+    the hash of the text."""
+    gone = bounded(settle(gone.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()), DROP)
+    same = "doc_id <=> gone_id and hash <=> gone_hash"
     return docs.withColumn("hash", HASH).join(gone, F.expr(same), "left_anti").drop("hash")
 
 
@@ -49,14 +49,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) ->
     Different texts under one id are documents of their own, in the order of their hashes;
     equal ones stay or go together. Rows with a null id stay."""
     docs = docs.select(*COLUMNS)
-    texts = settle(docs.where("doc_id is not null").select("doc_id", HASH.alias("hash")).distinct())
-    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return without(docs, near_duplicates(docs).where("not kept"), by=("doc_id",))
-    # numbers in the order of ids and hashes
-    keys = settle(texts.orderBy("doc_id", "hash").withColumn("key", F.monotonically_increasing_id()))
-    keyed = docs.withColumn("hash", HASH).join(keys, ["doc_id", "hash"])
-    copies = near_duplicates(keyed, key="key").where("not kept").select(F.col("doc_id").alias("key"))
-    return without(docs, keys.join(copies.distinct(), "key"))
+    return without(docs, copies(docs))
 
 
 def new_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from texts import prose
 from pyspark.sql import functions as F
 
 from tickloom.llm import licences, mixing, quality, warc
+from tickloom.llm import minhash
 from tickloom.llm.minhash import codes, near_duplicates, parities
 from tickloom.llm.postings import contamination, proximity_matches
 from tickloom.llm.rollups import PATTERN, VOCABULARY, Rollups, changes, count_tokens
@@ -292,6 +293,35 @@ def test_near_duplicates_against_brute_force(spark, docs, rows, none, size):
     assert sorted((r.doc_id or -1, r.kept) for r in near_duplicates(nulls, size=size).collect()) == [(-1, True), (4, True), (4, True)]
 
 
+def test_an_id_has_the_links_of_all_its_texts(spark):
+    a, b, c = prose(60, 90), prose(61, 90), prose(62, 90)
+    rows = [(1, a), (5, b), (5, a + " tail"), (7, b + " end"), (8, c), (9, c + " x"), (9, c + " x")]
+    for order in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+            (1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (8, 8, True), (9, 8, False), (9, 8, False)]
+
+
+def test_joins_spread_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 10)
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) as k")
+    right = spark.range(40).selectExpr("id as k", "id * 10 as v")
+    sizes = left.groupBy("k").agg(F.count("*").alias("held"))
+    got = minhash.spread(left, right, sizes, ["k"], "id")
+    assert got.columns == ["k", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
+def test_last_round_with_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 5)
+    monkeypatch.setattr(minhash, "ROUNDS", ((1, 1),))
+    monkeypatch.setattr(minhash, "LAST", 2)
+    # one long passage in all, own words in each, so a bucket holds many sets that are no links
+    rows = [(i, prose(70, 60) + " " + prose(100 + i // 2, 20) + " x" * (i % 2)) for i in range(60)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()))
+    assert got == brute10(rows, 2) and sum(x[3] for x in got) < 60
+
+
 def test_pipeline_stages(spark, docs, rows):
     import corpus_pipeline as p
     folder = "/root/testdata/sf0.001"

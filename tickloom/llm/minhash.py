@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settle
+from ..session import written
 from .arrays import SPACED, U64, binaries, flat, gram_hashes, mix, prefix_hashes, ranges, slices, stretch_hashes, words
 
 #: 40 bands of 5 values: two sets with similarity 0.8 share none once in 8 million times.
 BANDS, ROWS = 40, 5
-#: Places in a bucket of the pivots of each round after the first.
-ROUNDS = ((1, 4), (5, 20), (21, 1 << 40))
+#: Places in a bucket of the pivots of each round after the first, and of the first of the rest.
+ROUNDS, LAST = ((1, 4), (5, 20)), 21
+#: Rows of a key that are never dealt to several tasks.
+SHARE = 1000
 #: Tables of ids and links are this much narrower than texts, and have so many fewer partitions.
 NARROW = 8
 #: Ids that may be broadcast to pick documents: 16 MB at most.
@@ -33,7 +35,7 @@ PICK = 1_000_000
 SLACK = 6.5
 #: Longs of the parities of a set's shingles, each shingle falling on one bit.
 PARITY = 16
-SKETCH = "id long, n long, set_a long, set_b long, bands binary, code binary"
+SKETCH = "id long, hash long, n long, set_a long, set_b long, bands binary, code binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def _sketch(size: int, bands: int, rows: int):
                 continue
             whole, code = np.concatenate(keys), np.concatenate(planes)
             yield pa.record_batch({
-                "id": batch.column("id"), "n": np.concatenate(n), "set_a": _signed(np.concatenate(set_a)),
+                "id": batch.column("id"), "hash": batch.column("hash"), "n": np.concatenate(n), "set_a": _signed(np.concatenate(set_a)),
                 "set_b": _signed(np.concatenate(set_b)),
                 "bands": binaries(whole.reshape(-1).view(np.uint8), np.arange(len(whole) + 1) * 8 * bands),
                 "code": binaries(code.reshape(-1), np.arange(len(code) + 1) * code.shape[1])})
@@ -179,42 +181,59 @@ def _confirm(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity. Sets go once to each part that has
-    pairs with them, so a pivot of very many pairs is sent to each part once."""
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of classes whose full sets reach the similarity. A class's set is made from the
+    text of one of its rows. Sets go once to each part that has pairs with them, so a pivot of
+    very many pairs is sent to each part once."""
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"))
-    wanted = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = settle_narrow(wanted.select("id").distinct())
-    picked = docs.join(F.broadcast(ids) if ids.count() <= PICK else ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = picked.mapInArrow(_set_rows(size), "id long, grams binary").join(wanted, "id")
+    wanted = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("class")).distinct()
+    rows = narrow(wanted.select("class").distinct().join(classes.select("class", "id", "hash"), "class"))
+    rows = F.broadcast(rows) if rows.count() <= PICK else rows
+    picked = docs.join(rows, ["id", "hash"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), "text")
+    sets = picked.mapInArrow(_set_rows(size), "id long, grams binary").join(wanted.withColumnRenamed("class", "id"), "id")
     return (dealt.repartition(n, "part").groupBy("part")
             .cogroup(sets.select(F.col("to").alias("part"), "id", "grams").repartition(n, "part").groupBy("part"))
             .applyInArrow(_confirm(percent), "a long, b long"))
 
 
-def settle_narrow(df: DataFrame) -> DataFrame:
-    """A settled table of ids or links, in fewer files than texts would need."""
-    return settle(df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW)))
+def spread(left: DataFrame, right: DataFrame, sizes: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """Inner join on ``keys`` in which no key of very many left rows meets one task.
+
+    sizes: ``held``, how many left rows there are, by key (for the larger ones at least). Keys
+    that hold more than a quarter of a task's even share, so fewer than four for each task, are
+    broadcast; their left rows are dealt by the column ``salt`` and their right rows repeated."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(SHARE, (sizes.agg(F.sum("held")).first()[0] or 0) // (4 * n))
+    hot = F.broadcast(sizes.where(F.col("held") > share).select(*keys, F.ceil(F.col("held") / share).cast("int").alias("deal")))
+    dealt = F.coalesce(F.pmod(F.xxhash64(salt), F.col("deal")), F.lit(0)).cast("int")
+    left = left.join(hot, keys, "left").withColumn("salt", dealt).drop("deal")
+    right = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(1)) - 1))).drop("deal")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A written table of ids or links, in fewer files than texts would need."""
+    return written(df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW)))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable, for all ids that have links. Labels spread
     along links, and every third time jump to their own label's, until none changes."""
-    both = settle_narrow(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle_narrow(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
-                           .withColumn("label", F.least("id", "label")))
+    both = narrow(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = narrow(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
+                    .withColumn("label", F.least("id", "label")))
     turn = 0
     while True:
         turn += 1
         if turn % 3 == 0:
             far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-            labels = settle_narrow(labels.join(far, "label").select("id", F.col("far").alias("label")))
+            labels = narrow(labels.join(far, "label").select("id", F.col("far").alias("label")))
         near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
                 .agg(F.min("label").alias("near")))
-        after = settle_narrow(labels.join(near, "id").select("id", F.least("label", "near").alias("label"),
-                                                             (F.col("near") < F.col("label")).alias("moved")))
+        after = narrow(labels.join(near, "id").select("id", F.least("label", "near").alias("label"),
+                                                      (F.col("near") < F.col("label")).alias("moved")))
         labels = after.select("id", "label")
         if after.where("moved").isEmpty():
             return labels
@@ -227,77 +246,129 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         ends = (ends.join(labels.select(F.col("id").alias(side), "label"), side, "left")
                 .withColumn(side, F.coalesce("label", side)).drop("label"))
-    groups = components(ends.distinct())
-    old = (labels.join(groups.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+    found = components(ends.distinct())
+    old = (labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
            .select("id", F.coalesce("to", "label").alias("label")))
-    return settle_narrow(old.union(groups.join(labels.select("id"), "id", "left_anti").select("id", "label")))
+    return narrow(old.union(found.join(labels.select("id"), "id", "left_anti").select("id", "label")))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links of
-    ``percent`` similarity) and kept (the row is that document).
+def groups(docs: DataFrame, key: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, hash, n, label) of each row, where ``label`` is the smallest class linked to its own.
 
-    Texts without words (null, empty, blank) have no shingles and no links. Rows with
-    one id count as one document with the text of any of them. Rows with a null id take no
-    part and are kept. Other columns are not read."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sketch = settle(docs.mapInArrow(_sketch(size, bands, rows), SKETCH))
+    A class is a set of shingles, whatever the rows that hold it; its number says nothing.
+    Rows without shingles or id have no label; ``hash`` is the text's and tells rows of one id
+    apart."""
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    sketch = written(docs.mapInArrow(_sketch(size, bands, rows), SKETCH))
     some = sketch.where("n > 0 and id is not null")
-    first = some.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands", "code")).alias("one"))
-    classes = settle(first.select("set_a", "set_b", "one.*"))
-    banded = classes.select("id", "n", "bands").mapInArrow(_band_rows(bands), "bucket long, band long, id long, n long")
-    pivots = (banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("held"))
-              .where("held > 1").select("bucket", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an")))
-    crowded = settle(banded.join(pivots, "bucket"))
+    first = some.groupBy("set_a", "set_b").agg(
+        F.min(F.struct("id", "hash", "n", "bands", "code")).alias("one"), F.count("*").alias("held"))
+    classes = written(first.select("set_a", "set_b", "held", "one.*").withColumn("class", F.monotonically_increasing_id()))
+    banded = classes.select(F.col("class").alias("id"), "n", "bands").mapInArrow(
+        _band_rows(bands), "bucket long, band long, id long, n long")
+    pivots = written(banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("held"))
+                     .where("held > 1").select("bucket", "held", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an")))
+    crowded = written(spread(banded, pivots.drop("held"), pivots, ["bucket"], "id"))
     close = F.expr(f"100 * least(an, n) >= {percent} * greatest(an, n)")
     texts = docs.where("id is not null")
-    tested = settle_narrow(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
-    labels = components(settle_narrow(confirm(tested, texts, size, percent)))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
+    tested = narrow(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
+    labels = components(narrow(confirm(tested, texts, classes, size, percent)))
 
     def grouped(frame: DataFrame) -> DataFrame:
         return (frame.join(labels, "id", "left")
                 .withColumn("label", F.coalesce("label", "id")))
 
-    mixed = (grouped(crowded).groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                                    F.count("*").alias("held")).where("low < high and held > 2"))
-    inner = (crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi")
-             .withColumn("rank", rank))
-    open_ = settle_narrow(inner)
-    digests = settle_narrow(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "bands", "code").mapInArrow(
-        _digest_rows, "id long, digests array<int>, code array<long>"))
-    last = open_.agg(F.max("rank")).first()[0] or 0
+    mixed = narrow(grouped(crowded).groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                                          F.count("*").alias("held")).where("low < high and held > 2"))
+    open_ = narrow(crowded.select("bucket", "band", "id", "n").join(mixed.select("bucket"), "bucket", "left_semi"))
+    # the limit on the rank is applied before rows are shuffled as well
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
+    ranked = narrow(open_.withColumn("rank", rank).where(F.col("rank") < LAST))
+    beyond = ranked.where(F.col("rank") == LAST - 1).select("bucket", F.col("id").alias("from"))
+    digests = narrow(classes.withColumn("id", F.col("class")).join(open_.select("id").distinct(), "id", "left_semi")
+                     .select("id", "bands", "code").mapInArrow(_digest_rows, "id long, digests array<int>, code array<long>"))
     new = F.expr(f"not exists(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])")
     # two bits differ in three quarters of the values that do
     unlike = 0.75 * (1 - percent / 100)
     most = int(bands * rows * unlike + SLACK * (bands * rows * unlike * (1 - unlike)) ** 0.5)
     alike = F.expr(f"{100 + percent} * ({odd(bands * rows)}) <= {100 - percent} * (n + an) "
                    f"and {differing(bands * rows)} <= {most}")
-    for low, high in ROUNDS:
-        if low >= last:
+    for low, high in (*ROUNDS, (LAST, None)):
+        if high is None:
+            first = grouped(open_.join(beyond, "bucket").where("id > from").drop("from"))
+        else:
+            first = grouped(ranked.where(F.col("rank").between(low, high)).drop("rank"))
+        first = narrow(first)
+        if first.isEmpty():
             break
-        now = grouped(open_)
-        first = now.where(F.col("rank").between(low, high))
         # only rows of another label than some pivot of their bucket can make a pair
-        seen = first.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        rest = now.join(seen, "bucket").where(f"rank > {low} and (label <> low or label <> high)").drop("low", "high")
+        seen = first.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("from"))
+        rest = spread(grouped(open_), seen, mixed, ["bucket"], "id").where("id > from and (label <> low or label <> high)")
         pivot = first.join(digests, "id").select(
-            "bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"),
+            "bucket", F.col("id").alias("a"), F.col("n").alias("an"),
             F.col("label").alias("al"), F.col("digests").alias("ad"), F.col("code").alias("ac"))
-        pairs = (rest.join(digests, "id").join(pivot, "bucket").where("rank > ar and label <> al").where(close).where(alike).where(new)
+        pairs = (spread(rest.drop("low", "high", "from").join(digests, "id"), pivot, mixed, ["bucket"], "id")
+                 .where("id > a and label <> al").where(close).where(alike).where(new)
                  .select("a", F.col("id").alias("b")).distinct())
-        pairs = settle_narrow(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = narrow(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more = settle_narrow(confirm(pairs, texts, size, percent))
+            more = narrow(confirm(pairs, texts, classes, size, percent))
             tested = tested.union(pairs)
             if not more.isEmpty():
                 labels = merged(labels, more)
-    of_class = classes.select("set_a", "set_b", F.col("id").alias("class")).join(
-        labels.withColumnRenamed("id", "class"), "class", "left").select(
-        "set_a", "set_b", F.coalesce("label", "class").alias("label"))
-    joined = some.join(of_class, ["set_a", "set_b"]).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
-    alone = sketch.where("n = 0 or id is null").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = (classes.select("set_a", "set_b", "class").join(labels.withColumnRenamed("id", "class"), "class", "left")
+             .withColumn("label", F.coalesce("label", "class")))
+    held = spread(some.drop("bands", "code"), known, classes.select("set_a", "set_b", "held"), ["set_a", "set_b"], "id")
+    columns = ("id", "hash", "n")
+    alone = sketch.where("n = 0 or id is null").select(*columns, F.lit(None).cast("long").alias("label"))
+    return written(held.select(*columns, "label").union(alone))
+
+
+def least(members: DataFrame, *by: str) -> DataFrame:
+    """Rows with ``first``, the smallest of the columns ``by`` (a struct) under their label; rows
+    without a label or alone under it have their own."""
+    own = F.struct(*by)
+    low = (members.where("label is not null").groupBy("label")
+           .agg(F.min(own).alias("least"), F.max(own).alias("most"), F.count("*").alias("held")).where("least < most"))
+    low = narrow(low.drop("most"))
+    single = members.join(F.broadcast(low.select("label")) if low.count() <= PICK else low.select("label"), "label", "left_anti")
+    many = spread(members.where("label is not null"), low.drop("held"), low, ["label"], "id")
+    return (many.select("id", "hash", "n", F.col("least").alias("first"))
+            .union(single.select("id", "hash", "n", own.alias("first"))))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links of
+    ``percent`` similarity) and kept (the row is that document).
+
+    Texts without words (null, empty, blank) have no shingles and no links. Rows with
+    one id count as one document that has the links of all its texts. Rows with a null id
+    take no part and are kept. Other columns are not read."""
+    members = groups(docs, key, text, size, percent, bands, rows)
+    # labels that share an id are linked
+    labelled = members.where("label is not null")
+    of_id = labelled.groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
+    of_id = narrow(of_id.where("low < high").drop("high"))
+    if not of_id.isEmpty():
+        shared = spread(labelled, of_id.drop("held"), of_id, ["id"], "label").where("label > low")
+        joined = components(narrow(shared.select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()))
+        joined = joined.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        sizes = labelled.groupBy("label").agg(F.count("*").alias("held"))
+        moved = spread(labelled, joined, sizes, ["label"], "id").select("id", "hash", "n", F.col("to").alias("label"))
+        members = written(moved.union(members.join(joined, "label", "left_anti").select("id", "hash", "n", "label")))
+    return least(members, "id").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("first.id")).alias("kept"))
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
+           bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, hash): rows that go if of each group of near duplicates only the smallest stays.
+
+    Rows are documents of their own, in the order of their ids and of the ``xxhash64`` of their
+    texts, by which rows of one id are told apart; equal rows stay or go together. Rows without
+    an id or words stay."""
+    members = groups(docs, key, text, size, percent, bands, rows)
+    return (least(members, "id", "hash").where("id <> first.id or hash <> first.hash")
+            .select(F.col("id").alias("doc_id"), "hash"))

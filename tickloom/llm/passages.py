@@ -5,7 +5,8 @@ leftmost with the smallest hash. Equal windows have equal anchors at equal place
 neighbouring windows mostly share theirs, so about 2 / (L - k + 2) of all places are
 anchors. Windows in a row with one anchor form a segment.
 
-Texts are dealt by document into parts. Every part asks, for each distinct anchor it holds,
+Texts are dealt by id and text into parts, so rows without an id, or of an id that very many
+share, are spread like all others. Every part asks, for each distinct anchor it holds,
 whether it occurs again (first round); then it sends its distinct segments with such
 anchors to the shard of the anchor, once however often it holds them, and gets a bit for
 each window (second round). Requests and replies are packed arrays, one row for each
@@ -190,7 +191,6 @@ def _ask_anchors(search: Search, shards: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         keys, counts = counted(part_segments(table.column("text"), search))
-        counts = np.minimum(counts, 255).astype(np.uint8)
         out = [(s, part, c.stop - c.start, pack(keys[c]), pack(counts[c]), b"")
                for s, c in _cut(shard_of(keys, shards))]
         return _rows(REQUEST, [*zip(*out, strict=True)] if out else [[]] * 6)
@@ -201,7 +201,7 @@ def _answer_anchors(hot: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = [unpack(r["routes"], r["n"], U64) for r in rows]
-        counts = np.concatenate([unpack(r["counts"], r["n"], np.uint8) for r in rows]).astype(np.int64)
+        counts = np.concatenate([unpack(r["counts"], r["n"], np.int64) for r in rows])
         order, first = dense(np.concatenate(keys))
         total = np.add.reduceat(counts[order], first)
         state = np.empty(len(order), np.uint8)
@@ -336,7 +336,7 @@ def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish,
     """Run both rounds; ``finish(docs, replies, shards)`` makes the rows of each part, in
     their order. The columns in ``carry`` are added as they are."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    part = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), F.col(key).cast("long").alias("id"),
                         F.col(text).cast("string").alias("text"),
                         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).repartition(n, "part")

@@ -96,6 +96,16 @@ def _later(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ids > np.repeat(_smallest(ids, first), np.diff(np.r_[first, len(ids)]))
 
 
+def whole_characters(data: np.ndarray, removed: np.ndarray) -> None:
+    """Mark all bytes of the UTF-8 characters that have a marked byte, in place. A character has
+    at most three bytes after its first, so marks move three places at most either way."""
+    inner = (data & 0xC0) == 0x80
+    for _ in range(3):
+        removed[:-1] |= removed[1:] & inner[1:]
+    for _ in range(3):
+        removed[1:] |= removed[:-1] & inner[1:]
+
+
 def _finish(search: Search, characters: bool):
     def run(docs: pa.Table, replies: pa.Table, shards: int) -> pa.Table:
         data, offsets = flat(docs.column("text"))
@@ -104,8 +114,7 @@ def _finish(search: Search, characters: bool):
             raw, flags = flagged(docs, replies, search, shards, _later)
             removed = covered(flags, search.window)
             if characters:
-                which = np.cumsum((data & 0xC0) != 0x80)
-                removed = np.bincount(which, removed)[which] > 0
+                whole_characters(data, removed)
         kept_at = np.r_[0, np.cumsum(~removed)][offsets]
         n_bytes = np.diff(offsets)
         edge = np.diff(np.r_[0, removed.astype(np.int8)])
