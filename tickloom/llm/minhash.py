@@ -3,8 +3,8 @@
 Each permutation gives two signature values, the least and the greatest hash, so half as
 many permutations fill the bands. Equal sets are one class, looked up once. In a bucket of
 a band, classes are compared with the bucket's first one; what that joins is not
-compared again. Buckets that still hold several groups go on with the next four pivots,
-then sixteen, then the rest, until no two groups of a bucket are uncompared: no pairs
+compared again. Buckets that still hold several groups go on with the next twenty pivots,
+then the rest, until no two groups of a bucket are uncompared: no pairs
 within a joined group are made, and none between groups is left out. Two classes meet
 in several bands; they are paired in the first that they share by 32 bits of each, and only if
 their whole signatures differ no more than those of sets at the threshold may. A pair whose
@@ -22,8 +22,8 @@ from .arrays import SPACED, U64, binaries, flat, gram_hashes, mix, prefix_hashes
 
 #: 40 bands of 5 values: two sets with similarity 0.8 share none once in 8 million times.
 BANDS, ROWS = 40, 5
-#: Places in a bucket of the pivots of each round after the first, and of the first of the rest.
-ROUNDS, LAST = ((1, 4), (5, 20)), 21
+#: Places in a bucket of the pivots of the second round, and of the first of the rest.
+ROUNDS, LAST = ((1, 20),), 21
 #: Rows of a key that are never dealt to several tasks.
 SHARE = 1000
 #: Tables of ids and links are this much narrower than texts, and have so many fewer partitions.
