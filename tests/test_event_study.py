@@ -107,3 +107,25 @@ def test_sensitivity_grid(walk_bars):
     want = alone.filter("excess_net is not null").agg(F.avg("excess_net")).first()[0]
     assert grid[grid.step == 1].mean_excess_net.iloc[0] == pytest.approx(want)
     assert pd.notna(grid.base_mean).all()
+
+
+def test_draws_are_never_broadcast(spark, tmp_path):
+    """They are a thousand times as many as the dates they are drawn from."""
+    rows = [("s", 5, pd.Timestamp("2022-01-03").date() + pd.Timedelta(days=i), float(i % 7), float(i % 7)) for i in range(40)]
+    rows = spark.createDataFrame(rows, "screen_id string, horizon int, signal_date date, excess_gross double, excess_net double")
+    plans, kept = [], es.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    es.written = noted
+    try:
+        df = es.bootstrap(rows)
+    finally:
+        es.written = kept
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    drawn = [p for p in plans if "Generate" in p]
+    assert drawn and df.count() == 1
+    for plan in drawn:
+        assert "BroadcastExchange" in plan and "Generate" not in plan.split("BroadcastExchange", 1)[1]
