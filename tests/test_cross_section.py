@@ -1,10 +1,12 @@
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
 from bars import frame
 
 from tickloom.functions.asof import as_of_rows, asof_join, calendar
-from tickloom.functions.ranks import counted_values, percentile_rank, quantiles
+from tickloom.functions.ranks import counted_values, percentile_rank, quantiles, standing_percentiles
 from tickloom.operators import conditions as c
 from tickloom.operators.cross_section import breadth
 from tickloom.operators.screen import Market, signals
@@ -99,3 +101,30 @@ def test_asof_join(spark):
         ('c', date '2020-01-01', 30.0) as t(k, date, v)""")
     got = {r.id: r.v for r in asof_join(left, right, ["k"], ["v"]).collect()}
     assert got[1] == 20 and got[2] is None and got[3] is None
+
+
+def test_percentiles_among_standing_rows(spark):
+    """Held to a plain count over all rows of a day, with ties, nulls and spans over many blocks."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(60):
+        days = np.sort(rng.choice(150, rng.integers(1, 20), replace=False))
+        for i, d in enumerate(days):
+            until = int(days[i + 1]) if i + 1 < len(days) else 150
+            x = None if rng.random() < 0.1 else float(np.round(rng.normal(0, 3), 1))
+            rows.append((f"S{s}", int(d), until, x))
+    df = spark.createDataFrame(rows, "symbol string, day int, until int, x double")
+    out = standing_percentiles(df, "symbol", "x", "pctl")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # one shuffle of the rows, and no join back by value: the rest of the plan holds days by ranges
+    assert "Join" not in plan
+    got = {(r.symbol, r.day): r.pctl for r in out.collect()}
+    want = {}
+    for s, d, _, x in rows:
+        if x is not None:
+            there = [y for _, a, b, y in rows if a <= d < b and y is not None]
+            below, same = sum(y < x for y in there), sum(y == x for y in there)
+            want[s, d] = float(round(Decimal(100 * (below + (same + 1) / 2) / len(there)), 2))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 0.0101 for k in want)
+    assert sum(got[k] == want[k] for k in want) > 0.98 * len(want)
