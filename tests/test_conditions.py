@@ -188,3 +188,23 @@ def test_run_statistics_count_what_the_gate_leaves_out(to_bars):
     row = screen_stats(found, gate=1.0).first().asDict()
     assert row == {"universe": 2, "liquidity_excluded": 1, "evaluated": 1, "matched": 0, "near_misses": 1}
     assert screen_stats(found).first().liquidity_excluded == 0
+
+
+def test_equal_widths_are_a_squeeze(to_bars):
+    """Each window of 20 holds the same closes in another order: no width lies below another."""
+    cents = np.random.default_rng(4).integers(9000, 11000, 20)
+    got = held(to_bars(frame("SAME", np.tile(cents, 20) / 100)), c.bb_squeeze(20, 252))
+    assert len(got) == 400 - 19 - 59
+
+
+def test_a_close_that_is_the_average_is_not_above_it(to_bars):
+    cents = np.random.default_rng(6).integers(9000, 11000, 1200)
+    at = np.arange(199, 1200, 25)
+    for i in at:
+        cents[i - 1] += -cents[i - 19:i].sum() % 19
+        cents[i] = cents[i - 19:i].sum() // 19
+    x = frame("EVEN", cents / 100)
+    bars, equal = to_bars(x), {("EVEN", x.date[i]) for i in at}
+    assert not equal & held(bars, c.compare("close", ">", "sma_20"))
+    assert not equal & held(bars, c.compare("close", "<", "sma_20"))
+    assert equal <= held(bars, c.compare("close", ">=", "sma_20")) & held(bars, c.compare("close", "<=", "sma_20"))
