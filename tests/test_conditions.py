@@ -208,3 +208,16 @@ def test_a_close_that_is_the_average_is_not_above_it(to_bars):
     assert not equal & held(bars, c.compare("close", ">", "sma_20"))
     assert not equal & held(bars, c.compare("close", "<", "sma_20"))
     assert equal <= held(bars, c.compare("close", ">=", "sma_20")) & held(bars, c.compare("close", "<=", "sma_20"))
+
+
+def test_levels_are_folded_only_where_pivots_change(walk_bars):
+    names = ["_pivot_prices", "levels"]
+    df = add_steps(number_bars(walk_bars, 60), level_steps(), names).select("symbol", "date", *names)
+    rows = df.collect()
+    assert sum(r["_pivot_prices"] is not None for r in rows) < 0.6 * len(rows)
+    # a table that begins later gives bars that reach no further back the same levels
+    cut = walk_bars.filter(F.col("date") >= sorted({r.date for r in rows})[45])
+    late = {(r.symbol, r.date): r.levels for r in add_steps(number_bars(cut, 60), level_steps(), ["levels"]).filter(
+        "bar_idx >= 255").collect()}
+    full = {(r.symbol, r.date): r.levels for r in rows}
+    assert late and all(full[k] == v for k, v in late.items())
