@@ -90,6 +90,13 @@ def test_any_width_and_any_smoothing_factor(to_bars, spark):
         np.testing.assert_allclose(got.y, bars.close.rolling(n).mean(), rtol=1e-12)
 
 
+def test_short_memory_gathers_no_bars(to_bars):
+    """Its work a bar does not grow with the window: no list of bars is folded."""
+    df = add_steps(number_bars(to_bars(walk("ANY", 80, 7))), ewm_steps("y", "close", 1 / 3, 5), ["y"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+
+
 def test_reach_of_steps():
     book = daily_book() | level_steps() | c.bb_squeeze(20, 252).steps() | c.proximity("low", "ema_50", 1.0, 3).steps()
     reads = [*DAILY_FIELDS]
