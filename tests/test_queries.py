@@ -49,6 +49,14 @@ def test_levels_in_sql_do_not_hang_on_the_order_of_rows(name):
     assert rows[0] == rows[1] == rows[2]
 
 
+@pytest.mark.parametrize("name", ["screen_near_misses", "screen_shown_matches"])
+def test_sorted_rows_do_not_compute_the_panel_again(spark, name):
+    """The sort samples its input, which must not be the window stages."""
+    df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Window" not in plan
+
+
 def test_registry_is_complete():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
