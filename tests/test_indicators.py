@@ -97,6 +97,14 @@ def test_short_memory_gathers_no_bars(to_bars):
     assert "collect_list" not in plan and "aggregate(" not in plan
 
 
+def test_median_turnover_sorts_what_it_looks_up(walk_bars):
+    df = panel(walk_bars, ["turnover_cr", "median_turnover"])
+    assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.toPandas().sort_values(["symbol", "date"])
+    want = got.groupby("symbol").turnover_cr.rolling(20).median().to_numpy()
+    np.testing.assert_allclose(got.median_turnover.astype(float), want, rtol=1e-15)
+
+
 def test_reach_of_steps():
     book = daily_book() | level_steps() | c.bb_squeeze(20, 252).steps() | c.proximity("low", "ema_50", 1.0, 3).steps()
     reads = [*DAILY_FIELDS]
