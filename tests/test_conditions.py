@@ -221,3 +221,14 @@ def test_levels_are_folded_only_where_pivots_change(walk_bars):
         "bar_idx >= 255").collect()}
     full = {(r.symbol, r.date): r.levels for r in rows}
     assert late and all(full[k] == v for k, v in late.items())
+
+
+def test_rounding_is_no_slope(to_bars):
+    """The last five closes are the five that leave the 200-bar window, in another order."""
+    frames = []
+    for i in range(40):
+        rng = np.random.default_rng(i)
+        close = np.round(100 + np.cumsum(rng.normal(0, 1, 205)), 2)
+        frames.append(frame(f"T{i:02d}", np.r_[close[:200], close[:5][::-1]]))
+    rows = signals(Market(to_bars(*frames)), [c.compare("sma_200_slope", ">", 0)], ["sma_200_slope"], latest=True).collect()
+    assert len(rows) == 40 and all(r.sma_200_slope == 0 for r in rows)
