@@ -9,7 +9,7 @@ from tickloom.functions.asof import as_of_rows, asof_join, calendar
 from tickloom.functions.ranks import counted_values, percentile_rank, quantiles, standing_percentiles
 from tickloom.operators import conditions as c
 from tickloom.operators.cross_section import breadth
-from tickloom.operators.screen import Market, signals
+from tickloom.operators.screen import Market, signal_bars, signals
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,17 @@ def test_percentiles_among_standing_rows(spark):
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 0.0101 for k in want)
     assert sum(got[k] == want[k] for k in want) > 0.98 * len(want)
+
+
+def test_rows_go_through_their_rank(spark, walk_bars):
+    """A screen on one percentile joins nothing back by symbol and shuffles no bars for the calendar."""
+    df = signal_bars(Market(walk_bars), [c.rs_percentile(">=", 60), c.within("pct_from_52w_high", min=-5)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert "hashpartitioning(symbol" not in plan
+
+
+def test_rows_without_a_value_keep_their_place(spark, walk_bars):
+    got = signals(Market(walk_bars), [c.rs_percentile(">=", 60)], ["close"])
+    assert got.count() == walk_bars.count()
+    assert got.filter("c_rs_percentile_op_gte_value_60_0_window_63_0_basis_return is null").count() == 0
