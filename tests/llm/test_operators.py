@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import brute3, brute5, brute10
 from texts import prose
@@ -312,6 +313,18 @@ def test_joins_spread_hot_keys(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+@pytest.mark.parametrize("pick", [0, 1_000_000])
+def test_rows_of_a_bucket_meet_its_pivot_either_way(docs, rows, pick, monkeypatch):
+    """Pivots broadcast or shuffled; a bucket's last bits are its band, so no row carries that."""
+    monkeypatch.setattr(minhash, "PICK", pick)
+    assert sorted(map(tuple, near_duplicates(docs, size=2).collect())) == brute10(rows, 2)
+    keys = np.arange(40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    batch = pa.record_batch({"id": pa.array([7]), "n": pa.array([3]), "bands": pa.array([keys.tobytes()], pa.binary())})
+    out, = minhash._band_rows(40)([batch])
+    assert out.schema.names == ["bucket", "id", "n"]
+    assert [b & 63 for b in out.column("bucket").to_pylist()] == list(range(40))
+
+
 def test_last_round_with_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SHARE", 5)
     monkeypatch.setattr(minhash, "ROUNDS", ((1, 1),))

@@ -28,7 +28,7 @@ ROUNDS, LAST = ((1, 20),), 21
 SHARE = 1000
 #: Tables of ids and links are this much narrower than texts, and have so many fewer partitions.
 NARROW = 8
-#: Ids that may be broadcast to pick documents: 16 MB at most.
+#: Ids that may be broadcast to pick documents, 16 MB at most, and pivots to pick rows, 32 MB at most.
 PICK = 1_000_000
 #: Standard deviations by which signatures may differ more than the similarity lets expect:
 #: two sets with similarity 0.8 are beyond it less than once in 20 million times.
@@ -137,11 +137,14 @@ def _sketch(size: int, bands: int, rows: int):
 
 
 def _band_rows(bands: int):
+    """The last bits of a bucket tell its band, which therefore needs no column of its own."""
+    bits = U64((bands - 1).bit_length())
+
     def run(batches):
         for batch in batches:
             data, _ = flat(batch.column("bands"))
-            yield pa.record_batch({"bucket": data.view(np.int64),
-                                   "band": np.tile(np.arange(bands), batch.num_rows),
+            keys = data.view(U64) >> bits << bits
+            yield pa.record_batch({"bucket": _signed(keys | np.tile(np.arange(bands, dtype=U64), batch.num_rows)),
                                    "id": np.repeat(batch.column("id").to_numpy(), bands),
                                    "n": np.repeat(batch.column("n").to_numpy(), bands)})
     return run
@@ -265,10 +268,14 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int, bands:
         F.min(F.struct("id", "hash", "n", "bands", "code")).alias("one"), F.count("*").alias("held"))
     classes = written(first.select("set_a", "set_b", "held", "one.*").withColumn("class", F.monotonically_increasing_id()))
     banded = classes.select(F.col("class").alias("id"), "n", "bands").mapInArrow(
-        _band_rows(bands), "bucket long, band long, id long, n long")
-    pivots = written(banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("held"))
-                     .where("held > 1").select("bucket", "held", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an")))
-    crowded = written(spread(banded, pivots.drop("held"), pivots, ["bucket"], "id"))
+        _band_rows(bands), "bucket long, id long, n long")
+    # sizes are looked up for the pivots that are left: a number less to shuffle for each band of each class
+    pivots = written(banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("held")).where("held > 1")
+                     .join(classes.select(F.col("class").alias("a"), F.col("n").alias("an")), "a").select("bucket", "held", "a", "an"))
+    met = pivots.drop("held")
+    met = (banded.join(F.broadcast(met), "bucket") if met.count() <= PICK
+           else spread(banded, met, pivots, ["bucket"], "id"))
+    crowded = written(met.withColumn("band", F.col("bucket").bitwiseAND(F.lit((1 << (bands - 1).bit_length()) - 1))))
     close = F.expr(f"100 * least(an, n) >= {percent} * greatest(an, n)")
     texts = docs.where("id is not null")
     tested = narrow(crowded.where("id <> a").where(close).select("a", F.col("id").alias("b")).distinct())
