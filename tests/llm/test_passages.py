@@ -1,11 +1,13 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
 from brute import brute1, brute2
 
 from tickloom.llm.fm_dedup import FMIndex, dedup_passages, matching_statistics
-from tickloom.llm.suffix_dedup import bucket_pointers, dedup_substrings, qgram_keys
+from tickloom.llm.passages import PIECE, covered
+from tickloom.llm.suffix_dedup import bucket_pointers, counted_in, dedup_substrings, qgram_keys
 
 
 def digest(kept):
@@ -60,3 +62,21 @@ def test_matching_statistics_against_counting():
             p = rows[0][e - k:e]
             return sum(r.startswith(p, i) for r in rows for i in range(len(r))) >= 2
         assert n == max((k for k in range(1, 13) if held(k)), default=0)
+
+
+def test_marks_take_few_bytes_a_place():
+    """What tells the bytes that go holds no number for each byte of a part's texts."""
+    rng = np.random.default_rng(3)
+    flags = rng.random(6 * PIECE + 5) < 0.001
+    tracemalloc.start()
+    got = covered(flags, 100)
+    offsets = np.r_[0, np.sort(rng.integers(0, len(flags), 500)), len(flags)]
+    offsets[7] = offsets[8]
+    counts = counted_in(got, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(flags)
+    total = np.cumsum(flags)
+    assert (got == (total - np.r_[np.zeros(100, int), total[:-100]] > 0)).all()
+    assert list(counts) == [int(got[a:b].sum()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert not len(covered(flags[:0], 100)) and list(covered(flags[:1] | True, 100)) == [True]

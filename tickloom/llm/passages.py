@@ -325,10 +325,14 @@ def flagged(docs: pa.Table, replies: pa.Table, search: Search, shards: int,
 
 
 def covered(flags: np.ndarray, window: int) -> np.ndarray:
-    """Symbols within ``window`` from a flagged start."""
-    total = np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)
-    total[window:] -= total[:-window].copy()
-    return total > 0
+    """Symbols within ``window`` from a flagged start, counted for a block of places at a time."""
+    out = np.empty(len(flags), bool)
+    for a in range(0, len(flags), PIECE):
+        before = min(a, window - 1)
+        total = np.cumsum(flags[a - before:a + PIECE], dtype=np.int32)
+        total[window:] -= total[:-window].copy()
+        out[a:a + PIECE] = total[before:] > 0
+    return out
 
 
 def search_windows(docs: DataFrame, key: str, text: str, search: Search, finish, schema: str,

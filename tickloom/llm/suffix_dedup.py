@@ -106,6 +106,11 @@ def whole_characters(data: np.ndarray, removed: np.ndarray) -> None:
         removed[1:] |= removed[:-1] & inner[1:]
 
 
+def counted_in(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many places of each text are marked, without a number for every place."""
+    return np.array([np.count_nonzero(marks[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+
+
 def _finish(search: Search, characters: bool):
     def run(docs: pa.Table, replies: pa.Table, shards: int) -> pa.Table:
         data, offsets = flat(docs.column("text"))
@@ -115,11 +120,10 @@ def _finish(search: Search, characters: bool):
             removed = covered(flags, search.window)
             if characters:
                 whole_characters(data, removed)
-        kept_at = np.r_[0, np.cumsum(~removed)][offsets]
         n_bytes = np.diff(offsets)
-        edge = np.diff(np.r_[0, removed.astype(np.int8)])
+        kept_at = np.r_[0, np.cumsum(n_bytes - counted_in(removed, offsets))]
         begin = removed.copy()
-        begin[edge != 1] = False
+        begin[1:] &= ~removed[:-1]
         firsts = offsets[:-1][n_bytes > 0]
         begin[firsts] = removed[firsts]
         stop = removed.copy()
