@@ -70,9 +70,16 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the mix takes, with their words, their source's target and the words taken
-    of each row."""
-    documents, _, _ = mix(docs, carry=("text", "lang", "n_chars"))
-    return documents.where("taken > 0").select(*COLUMNS, "size", "target", "taken")
+    of each row. The mix moves hashes for texts; a text is shuffled once, to the rows of its key."""
+    key = ["same_id", "no_id", "hash"]
+    # a hash skips nulls, so where they stand is told as well
+    docs = docs.select(*COLUMNS).withColumn("hash", F.xxhash64(*COLUMNS[1:], *(F.col(c).isNull() for c in COLUMNS[1:])))
+    documents, _, _ = mix(docs, carry=("hash",))
+    named = {"same_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()}
+    taken = documents.where("taken > 0").withColumns(named).select(*key, "size", "target", "taken")
+    # rows of a key are alike, so one of them stands for all that are taken
+    texts = docs.withColumns(named).dropDuplicates(key)
+    return texts.join(taken, key).select(*COLUMNS, "size", "target", "taken")
 
 
 STAGES = [("quality rules", good_quality), ("minhash near-dedup", one_of_near_duplicates),

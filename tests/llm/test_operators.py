@@ -395,3 +395,22 @@ def test_pipeline_judges_rows(spark, tmp_path):
     assert (done["size"] == [words(t) for t in done.text]).all() and (done.taken <= 3 * done["size"]).all()
     for _, x in done.groupby("source"):
         assert abs(x.taken.sum() - x.target.iloc[0]) <= 1
+
+
+def test_pipeline_mixes_without_moving_texts(spark, monkeypatch):
+    import corpus_pipeline as p
+    rows = [(d, prose(d, 5 + d % 60), "en", f"s{d % 3}") for d in range(60)]
+    # alike rows, rows of one id, swapped nulls and rows without an id
+    rows += [rows[3], rows[3], (4, prose(99, 30), "en", "s1"), (4, prose(4, 9), None, "s1"), (4, prose(4, 9), "s1", None),
+             (None, prose(98, 20), "en", "s0"), (None, prose(98, 20), "en", "s0"), (None, prose(97, 20), None, "s2"), (70, None, "en", "s0")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    carried = []
+    monkeypatch.setattr(p, "mix", lambda docs, carry: carried.extend(carry) or mixing.mix(docs, carry=carry))
+    got = p.mixed(spark, docs, "").toPandas()
+    assert list(got.columns) == [*p.COLUMNS, "size", "target", "taken"]
+    assert "text" not in carried
+    want = mixing.mix(docs, carry=("text", "lang", "n_chars"))[0].where("taken > 0").toPandas()
+    assert sorted(map(str, got[["doc_id", "text", "lang", "source", "size"]].values.tolist())) == sorted(
+        map(str, want[["doc_id", "text", "lang", "source", "size"]].values.tolist()))
+    for _, x in got.groupby(got.source.fillna("")):
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 1
