@@ -414,3 +414,15 @@ def test_pipeline_mixes_without_moving_texts(spark, monkeypatch):
         map(str, want[["doc_id", "text", "lang", "source", "size"]].values.tolist()))
     for _, x in got.groupby(got.source.fillna("")):
         assert abs(x.taken.sum() - x.target.iloc[0]) <= 1
+
+
+def test_sets_are_shuffled_only_to_their_parts(spark):
+    from tickloom.llm import minhash
+    rows = [(d, d, prose(d, 12), d) for d in range(6)]
+    docs = spark.createDataFrame(rows, "id long, hash long, text string, class long")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "a long, b long")
+    found = minhash.confirm(pairs, docs.drop("class"), docs.select("class", "id", "hash"), 2, 0)
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (3, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
+    assert not any("Join" in x for x in plan[:made]), "sets are joined, so shuffled, before they go to their parts"

@@ -168,7 +168,8 @@ def _set_rows(size: int):
             data, offsets = flat(batch.column("text"))
             for a, b in slices(offsets):
                 grams, at = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
-                yield pa.record_batch({"id": batch.column("id").slice(a, b - a), "grams": binaries(grams.view(np.uint8), 8 * at)})
+                yield pa.record_batch({**{c: batch.column(c).slice(a, b - a) for c in ("id", "parts")},
+                                       "grams": binaries(grams.view(np.uint8), 8 * at)})
     return run
 
 
@@ -191,13 +192,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"))
-    wanted = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("class")).distinct()
-    rows = narrow(wanted.select("class").distinct().join(classes.select("class", "id", "hash"), "class"))
+    wanted = written(dealt.select(F.explode(F.array("a", "b")).alias("class"), F.col("part").alias("to"))
+                     .groupBy("class").agg(F.collect_set("to").alias("parts")))
+    rows = narrow(wanted.select("class").join(classes.select("class", "id", "hash"), "class"))
     rows = F.broadcast(rows) if rows.count() <= PICK else rows
-    picked = docs.join(rows, ["id", "hash"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), "text")
-    sets = picked.mapInArrow(_set_rows(size), "id long, grams binary").join(wanted.withColumnRenamed("class", "id"), "id")
+    # parts come to the text where its class has met, so sets are shuffled only to their parts
+    picked = (docs.join(rows, ["id", "hash"]).select("class", "text").dropDuplicates(["class"])
+              .join(wanted.hint("merge"), "class").select(F.col("class").alias("id"), "parts", "text"))
+    sets = (picked.mapInArrow(_set_rows(size), "id long, parts array<int>, grams binary")
+            .select(F.explode("parts").alias("part"), "id", "grams"))
     return (dealt.repartition(n, "part").groupBy("part")
-            .cogroup(sets.select(F.col("to").alias("part"), "id", "grams").repartition(n, "part").groupBy("part"))
+            .cogroup(sets.repartition(n, "part").groupBy("part"))
             .applyInArrow(_confirm(percent), "a long, b long"))
 
 
@@ -292,7 +297,9 @@ def groups(docs: DataFrame, key: str, text: str, size: int, percent: int, bands:
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
     ranked = narrow(open_.withColumn("rank", rank).where(F.col("rank") < LAST))
     beyond = ranked.where(F.col("rank") == LAST - 1).select("bucket", F.col("id").alias("from"))
-    digests = narrow(classes.withColumn("id", F.col("class")).join(open_.select("id").distinct(), "id", "left_semi")
+    told = narrow(open_.select("id").distinct())
+    told = F.broadcast(told) if told.count() <= PICK else told
+    digests = narrow(classes.withColumn("id", F.col("class")).join(told, "id", "left_semi")
                      .select("id", "bands", "code").mapInArrow(_digest_rows, "id long, digests array<int>, code array<long>"))
     new = F.expr(f"not exists(sequence(0, {bands - 1}), i -> i < band and digests[i] = ad[i])")
     # two bits differ in three quarters of the values that do
