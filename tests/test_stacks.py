@@ -12,7 +12,7 @@ from tickloom.functions.windows import number_bars
 from tickloom.operators.fields import KNOWN, SMOOTHINGS
 from tickloom.operators.indicators import SMOOTHED, daily_book, panel
 from tickloom.schema import BARS
-from tickloom.sources.panels import FIELDS
+from tickloom.sources.panels import FIELDS, PanelStore
 
 
 def some_bars():
@@ -59,3 +59,9 @@ def test_symbols_stay_whole(rows):
     assert [x for t in parts for x in t["x"].to_pylist()] == list(range(18))
     seen = [set(t["symbol"].to_pylist()) for t in parts]
     assert sum(len(s) for s in seen) == 4
+
+
+def test_kept_rows_need_no_window_stage(spark, walk_bars, tmp_path):
+    rows = PanelStore(spark, str(tmp_path / "store"))._computed(walk_bars.select(*BARS.names))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
