@@ -1,5 +1,7 @@
 """Columns computed over stacked symbols equal the window steps of the same names."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -65,3 +67,9 @@ def test_kept_rows_need_no_window_stage(spark, walk_bars, tmp_path):
     rows = PanelStore(spark, str(tmp_path / "store"))._computed(walk_bars.select(*BARS.names))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_workers_find_the_package(walk_bars):
+    panel(walk_bars, ["sma_20"])
+    paths = walk_bars.sparkSession.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
+    assert any(os.path.isfile(os.path.join(p, "tickloom", "session.py")) for p in paths)
